@@ -450,3 +450,13 @@ SQL: dict[str, str] = {
     FROM f_words
     """,
 }
+
+from .match_sql import MATCH_VIEWS  # noqa: E402  (needs nothing from here)
+
+SQL.update(MATCH_VIEWS)
+SQL["m_full_any"] = """
+    SELECT m.doc_id, m.pred, m.gt, g.claim_type AS g_type, p.claim_type AS p_type, g.text AS g_text, p.text AS p_text,
+           g.s AS g_s, g.e AS g_e, p.s AS p_s, p.e AS p_e, p.confidence
+    FROM m_any m LEFT JOIN f_gt g ON g.doc_id = m.doc_id AND g.ord = m.gt
+    LEFT JOIN f_pred p ON p.doc_id = m.doc_id AND p.ord = m.pred
+"""
