@@ -1,4 +1,4 @@
 """Imports every query module, so the registry is complete."""
 
-from . import evaluation  # noqa: F401
+from . import dataset, evaluation  # noqa: F401
 from .registry import ORACLES, QUERIES, full_sql  # noqa: F401

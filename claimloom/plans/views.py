@@ -291,6 +291,101 @@ def parsed_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation documents over the gold spans, with damage in some of them."""
+    rows = gold_rows(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"
+    )
+    d, damage = F.col("doc_id"), F.col("doc_id") % 50
+
+    def value(s: Column, first: Column) -> Column:
+        v = F.struct(
+            F.when(~(first & (damage == 5)), s["start"]).alias("start"),
+            s["end"].alias("end"),
+            F.when(first & (damage == 6), F.concat(F.lit("X"), s["text"]))
+            .otherwise(s["text"])
+            .alias("text"),
+            F.when(first & (damage == 4), F.array().cast("array<string>"))
+            .otherwise(F.array(s["claim_type"]))
+            .alias("labels"),
+        )
+        return F.when(~(first & (damage == 3)), v)
+
+    result = F.transform("spans", lambda s, i: F.struct(value(s, i == 0).alias("value")))
+    one = F.array(F.struct(F.when(damage != 2, result).alias("result")))
+    augmented = d % 3 == 0
+    return rows.select(
+        F.col("message_id").alias("id"),
+        F.struct("text").alias("data"),
+        F.when(damage == 1, F.slice(one, 2, 1)).when(damage != 0, one).alias("annotations"),
+        F.struct(
+            F.col("label").alias("label"),
+            F.when(d % 5 == 0, "test").otherwise("train").alias("split"),
+            augmented.alias("is_augmented"),
+            F.col("source").alias("source"),
+            F.when(augmented, F.when(d % 2 == 0, "paraphrase").otherwise("synonym")).alias(
+                "augmentation_type"
+            ),
+            F.when(d % 6 != 0, F.col("text")).alias("original_text"),
+            F.array_distinct(F.transform("spans", lambda s: s["claim_type"])).alias("claim_types"),
+        ).alias("meta"),
+    )
+
+
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewer's verdict per gold span, by its length."""
+    wl = F.col("wl") % 5
+    action = F.when(wl == 0, "reject").when(wl.isin(1, 2), "edit").when(wl == 3, "accept")
+    return (
+        gold(spark, sf_dir)
+        .select(
+            "message_id",
+            "claim_id",
+            action.alias("action"),
+            F.when(wl == 1, F.concat("text", F.lit(" (edited)"))).alias("new_text"),
+            F.when(wl == 2, F.lit("OTHER_CLAIM")).alias("new_type"),
+        )
+        .where(F.col("action").isNotNull())
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model replies per message with spans: fenced, broken and partial ones."""
+    rows = gold_rows(spark, sf_dir).where(F.size("spans") > 0)
+    kind = F.col("doc_id") % 6
+    items = F.transform(
+        "spans",
+        lambda s, i: F.struct(
+            (i + 1).alias("claim_id"),
+            F.concat(F.lit("says "), s["claim_type"]).alias("canonical_form"),
+            F.create_map(F.lit("k"), s["wl"].cast("string")).alias("slots"),
+        ),
+    )
+    body = F.to_json(items)
+    odd = F.concat(
+        F.lit('[{"claim_id": 0, "canonical_form": "zero"}, {"canonical_form": "none"}, {"claim_id": '),
+        (F.size("spans") + 1).cast("string"),
+        F.lit(', "canonical_form": "far"}, {"claim_id": 1}]'),
+    )
+    content = (
+        F.when(kind == 0, body)
+        .when(kind == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(kind == 2, F.concat(F.lit(" ```\n"), body, F.lit("```\n")))
+        .when(kind == 3, F.concat(F.lit("Sorry: "), body))
+        .when(kind == 4, F.to_json(F.get(items, F.lit(0))))
+        .otherwise(odd)
+    )
+    return rows.select(
+        F.concat(F.lit("request-"), "message_id").alias("custom_id"),
+        "message_id",
+        "doc_id",
+        "label",
+        "spans",
+        content.alias("content"),
+        F.when(F.col("doc_id") % 17 == 0, "rate limit").alias("error"),
+    )
+
+
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token predictions per message: array<struct<idx,start,end,label,confidence>>.
 
@@ -441,6 +536,29 @@ SQL: dict[str, str] = {
     FROM f_pclaims_p p JOIN d_slots d USING (claim_type)
     WHERE (p.wl + d.pos) % 3 <> 0 AND (p.wl + p.base_id + d.pos) % 5 <> 3
     """,
+    "f_results": """
+    SELECT g.* EXCLUDE (text), (doc_id % 50 = 3 AND claim_id = 0) AS v_null, (doc_id % 50 = 4 AND claim_id = 0) AS l_empty,
+           (doc_id % 50 = 5 AND claim_id = 0) AS s_null,
+           CASE WHEN doc_id % 50 = 6 AND claim_id = 0 THEN 'X' || text ELSE text END AS text
+    FROM f_gold g WHERE doc_id % 50 NOT IN (0, 1, 2)
+    """,
+    "f_spans": """
+    SELECT message_id, doc_id, label AS message_label, claim_id, claim_type, text,
+           CASE WHEN s_null THEN 0 ELSE s END AS s, e, wl
+    FROM f_results WHERE NOT v_null AND NOT l_empty
+    """,
+    "f_meta": """
+    SELECT m.message_id, m.doc_id, m.text, m.label, CASE WHEN m.doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+           m.doc_id % 3 = 0 AS is_augmented, d.source,
+           CASE WHEN m.doc_id % 3 = 0 THEN CASE WHEN m.doc_id % 2 = 0 THEN 'paraphrase' ELSE 'synonym' END END AS augmentation_type,
+           CASE WHEN m.doc_id % 6 <> 0 THEN m.text END AS original_text
+    FROM f_messages m JOIN documents d USING (doc_id)
+    """,
+    "f_reviews": """
+    SELECT message_id, doc_id, claim_id, CASE wl % 5 WHEN 0 THEN 'reject' WHEN 3 THEN 'accept' ELSE 'edit' END AS action,
+           CASE WHEN wl % 5 = 1 THEN text || ' (edited)' END AS new_text, CASE WHEN wl % 5 = 2 THEN 'OTHER_CLAIM' END AS new_type
+    FROM f_gold WHERE wl % 5 <> 4
+    """,
     "f_tokens": f"""
     SELECT message_id, doc_id, text, label AS message_label, idx, ws AS s, we AS e,
            CASE WHEN wl >= 9 THEN 'B-' || {sql_type('(doc_id + idx // 4) % 12')}
@@ -452,8 +570,10 @@ SQL: dict[str, str] = {
 }
 
 from .match_sql import MATCH_VIEWS  # noqa: E402  (needs nothing from here)
+from .prompt_sql import PROMPT_VIEWS  # noqa: E402
 
 SQL.update(MATCH_VIEWS)
+SQL.update(PROMPT_VIEWS)
 SQL["m_full_any"] = """
     SELECT m.doc_id, m.pred, m.gt, g.claim_type AS g_type, p.claim_type AS p_type, g.text AS g_text, p.text AS p_text,
            g.s AS g_s, g.e AS g_e, p.s AS p_s, p.e AS p_e, p.confidence
