@@ -1,4 +1,4 @@
 """Imports every query module, so the registry is complete."""
 
-from . import dataset, evaluation, quality_checks  # noqa: F401
+from . import dataset, evaluation, quality_checks, tagging  # noqa: F401
 from .registry import ORACLES, QUERIES, full_sql  # noqa: F401

@@ -215,7 +215,7 @@ def claim_coverage(spark, sf_dir):
 
 
 def _short_docs(spark, sf_dir):
-    """Documents that lose the types only long words carry."""
+    """Documents in which two of the types are never listed."""
     docs = v.annotations(spark, sf_dir)
     kinds = F.filter("meta.claim_types", lambda t: ~t.isin("LEGAL_CLAIM", "SOCIAL_CLAIM"))
     return docs.withColumn("meta", F.col("meta").withField("claim_types", kinds))

@@ -39,12 +39,16 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, "text")
+def messages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "text", *extra)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     label = F.when(F.col("toxic") == 1, "smish").when(F.col("toxic") == 0, "ham")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").cast("string").alias("message_id"), "doc_id", "text", label.alias("label")
+        F.col("doc_id").cast("string").alias("message_id"),
+        "doc_id",
+        "text",
+        label.alias("label"),
+        *extra,
     )
 
 
@@ -154,10 +158,10 @@ def pred_array() -> Column:
     return F.array_sort(bind_words(scored))
 
 
-def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gold_rows(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """One row per message with its gold spans as an array."""
-    return with_words(messages(spark, sf_dir)).select(
-        "message_id", "doc_id", "text", "label", gold_array().alias("spans")
+    return with_words(messages(spark, sf_dir, *extra)).select(
+        "message_id", "doc_id", "text", "label", *extra, gold_array().alias("spans")
     )
 
 
@@ -293,9 +297,7 @@ def parsed_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation documents over the gold spans, with damage in some of them."""
-    rows = gold_rows(spark, sf_dir).join(
-        table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id"
-    )
+    rows = gold_rows(spark, sf_dir, "source")
     d, damage = F.col("doc_id"), F.col("doc_id") % 50
 
     def value(s: Column, first: Column) -> Column:
