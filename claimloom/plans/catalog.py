@@ -1,4 +1,11 @@
 """Imports every query module, so the registry is complete."""
 
-from . import dataset, evaluation, quality_checks, tagging  # noqa: F401
+from . import (  # noqa: F401
+    dataset,
+    evaluation,
+    quality_checks,
+    sampling_queries,
+    tagging,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES, full_sql  # noqa: F401
