@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     evaluation,
     quality_checks,
     sampling_queries,
+    stream_queries,
     tagging,
     text_queries,
 )

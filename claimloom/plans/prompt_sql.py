@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..functions.constants import CLAIM_PROMPT, QUALITY_PROMPT, SPOT_PROMPT
+from ..functions.constants import CLAIM_PROMPT, FEWSHOT_PROMPT, QUALITY_PROMPT, SPOT_PROMPT
 
 
 def quoted(text: str) -> str:
@@ -40,4 +40,22 @@ PROMPT_VIEWS = {
     "f_quality_prompts": f"""
     SELECT message_id, {fill_sql(QUALITY_PROMPT, message='text')} AS prompt FROM f_messages WHERE label IS DISTINCT FROM 'ham'
     """,
+    "f_examples": """
+    SELECT g.message_id, g.claim_id, g.claim_type, '"' || g.claim_text || '" → canonical: "' || g.canonical_form || '", slots: {' ||
+           coalesce(string_agg('"' || s.slot || '":' || coalesce('"' || s.value || '"', 'null'), ',' ORDER BY s.pos), '') || '}' || chr(10) AS line,
+           row_number() OVER (PARTITION BY g.message_id, g.claim_type ORDER BY g.claim_id) AS k
+    FROM f_pclaims_g g LEFT JOIN f_slots_g s ON s.message_id = g.message_id AND s.claim_id = g.claim_id
+    GROUP BY g.message_id, g.claim_id, g.claim_type, g.claim_text, g.canonical_form
+    """,
+    "f_shown": """
+    SELECT message_id, claim_type, chr(10) || chr(10) || 'Examples for ' || claim_type || ':' || chr(10) || string_agg(k || '. ' || line, '' ORDER BY k) AS shown
+    FROM f_examples WHERE k <= 3 GROUP BY 1, 2
+    """,
+    "f_fewshot_prompts": f"""
+    SELECT message_id, {fill_sql(FEWSHOT_PROMPT, message='text', claims='claims', schemas='schemas', examples='examples')} AS prompt FROM (
+      SELECT m.message_id, m.text, string_agg({_CLAIM}, chr(10) || chr(10) ORDER BY g.claim_id) AS claims,
+             string_agg(b.block, chr(10) || chr(10) ORDER BY g.claim_id) AS schemas, string_agg(x.shown, '' ORDER BY g.claim_id) AS examples
+      FROM f_messages m JOIN f_gold g ON g.doc_id = m.doc_id JOIN d_blocks b ON b.claim_type = g.claim_type
+      JOIN f_shown x ON x.message_id = g.message_id AND x.claim_type = g.claim_type GROUP BY 1, 2)
+    """,
 }

@@ -168,10 +168,9 @@ def quality_prompt(spark, sf_dir):
     return rows.select("message_id", pr.quality_prompt(F.col("text")).alias("prompt"))
 
 
-@query("fewshot_prompt")
+@query("fewshot_prompt", "SELECT message_id, prompt FROM f_fewshot_prompts")
 def fewshot_prompt(spark, sf_dir):
-    """Examples are the message's own parsed claims of the same type, so the
-    prompt needs no model; JSON layout differs between engines (rows only)."""
+    """Examples are the message's own parsed claims of the same type."""
     parsed = v.parsed_gold(spark, sf_dir).groupBy("message_id").agg(
         F.array_sort(
             F.collect_list(F.struct("claim_id", "claim_type", "claim_text", "canonical_form", F.map_entries("slots").alias("slots")))
