@@ -485,23 +485,61 @@ def annotator_agreement(results: DataFrame) -> DataFrame:
 
 
 def agreement_report(agreement: DataFrame) -> DataFrame:
-    """Means over non-ham messages plus A-only claims per label, long form."""
+    """Means over non-ham messages plus A-only claims per label, long form.
+
+    One pass: a message gives one entry with its scores and one per claim
+    only A saw; sums per label follow.
+    """
+    scores = ["precision", "recall", "f1"]
     used = agreement.where(~F.col("label").eqNullSafe(F.lit("ham")))
-    means = used.agg(
-        F.count("*").cast("double").alias("total_samples"),
-        F.round(F.avg("precision"), 3).alias("avg_precision"),
-        F.round(F.avg("recall"), 3).alias("avg_recall"),
-        F.round(F.avg("f1"), 3).alias("avg_f1"),
-    )
-    summary = means.unpivot(
-        [], ["total_samples", "avg_precision", "avg_recall", "avg_f1"], "item", "value"
+    message = F.struct(
+        F.lit(None).cast("string").alias("label"), *[F.col(c).alias(c) for c in scores]
+    )
+    claims = F.transform(
+        "only_a", lambda c: F.struct(c["label"].alias("label"), *[F.lit(0.0).alias(s) for s in scores])
+    )
+    sums = (
+        used.select(F.explode(F.concat(F.array(message), claims)).alias("e"))
+        .groupBy("e.label")
+        .agg(F.count("*").cast("double").alias("n"), *[F.sum(F.col("e")[c]).alias(c) for c in scores])
+    )
+    n = F.col("n")
+    items = F.when(
+        F.col("label").isNull(),
+        F.array(
+            F.struct(F.lit("total_samples").alias("item"), n.alias("value")),
+            *[
+                F.struct(F.lit(f"avg_{c}").alias("item"), F.round(F.col(c) / n, 3).alias("value"))
+                for c in scores
+            ],
+        ),
+    ).otherwise(
+        F.array(F.struct(F.concat(F.lit("errors:"), "label").alias("item"), n.alias("value")))
     )
-    errors = (
-        used.select(F.explode("only_a").alias("c"))
-        .groupBy(F.concat(F.lit("errors:"), "c.label").alias("item"))
-        .agg(F.count("*").cast("double").alias("value"))
+    return sums.select(F.explode(items).alias("x")).select("x.*")
+
+
+def set_intersections(results: DataFrame) -> DataFrame:
+    """Distinct (text, type) claims of both annotators, of A only, of B only."""
+
+    def side(column: str, a: int) -> Column:
+        return F.transform(
+            column,
+            lambda s: F.struct(
+                strip(F.lower(s["text"])).alias("text"),
+                s["claim_type"].alias("label"),
+                F.lit(a).alias("a"),
+                F.lit(1 - a).alias("b"),
+            ),
+        )
+
+    seen = (
+        results.select(F.explode(F.concat(side("gt", 1), side("pred", 0))).alias("c"))
+        .groupBy("c.text", "c.label")
+        .agg(F.max("c.a").alias("a"), F.max("c.b").alias("b"))
     )
-    return summary.unionByName(errors)
+    part = F.when((F.col("a") == 1) & (F.col("b") == 1), "both").when(F.col("a") == 1, "only_a").otherwise("only_b")
+    return seen.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
 def identity_issues(agreement: DataFrame, n: int = 20) -> DataFrame:

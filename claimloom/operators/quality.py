@@ -100,16 +100,35 @@ def boundary_mismatch(rows: DataFrame) -> DataFrame:
 
 
 def dataset_quality_verdict(rows: DataFrame) -> DataFrame:
-    """One row: totals, and the issues that apply."""
-    totals = rows.agg(
-        F.count("*").alias("total_messages"),
-        F.count_if(F.col("annotated") & (F.size("spans") == 0)).alias("ham_messages"),
-        F.count_if(F.size("spans") > 0).alias("smish_messages"),
-        F.coalesce(F.sum(_overlaps()), F.lit(0)).alias("span_overlaps"),
-        F.coalesce(F.sum(_mismatches()), F.lit(0)).alias("boundary_mismatches"),
+    """One row: totals, and the issues that apply.
+
+    One pass: a message gives one entry without a type that carries its
+    totals, and one entry per claim; sums per type are then added up.
+    """
+    names = ["total_messages", "ham_messages", "smish_messages", "span_overlaps", "boundary_mismatches"]
+    values = [
+        F.lit(1),
+        (F.col("annotated") & (F.size("spans") == 0)).cast("int"),
+        (F.size("spans") > 0).cast("int"),
+        _overlaps(),
+        _mismatches(),
+    ]
+    message = F.struct(
+        F.lit(None).cast("string").alias("claim_type"), *[x.alias(n) for n, x in zip(names, values)]
+    )
+    claims = F.transform(
+        "spans",
+        lambda s: F.struct(s["claim_type"].alias("claim_type"), *[F.lit(0).alias(n) for n in names]),
+    )
+    sums = (
+        rows.select(F.explode(F.concat(F.array(message), claims)).alias("e"))
+        .groupBy("e.claim_type")
+        .agg(F.count("*").alias("n"), *[F.sum(F.col("e")[n]).alias(n) for n in names])
+    )
+    rare = F.col("claim_type").isNotNull() & (F.col("n") < RARE_COUNT)
+    both = sums.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(rare).alias("rare_types")
     )
-    rare = claim_type_stats(rows).agg(F.count_if("rare").alias("rare_types"))
-    both = totals.join(F.broadcast(rare))
     issues = F.array_compact(
         F.array(
             F.when(F.col("ham_messages") < F.col("total_messages") * MIN_HAM_SHARE, "low_ham"),
@@ -211,7 +230,7 @@ def integrity_vs_original(docs: DataFrame, original: DataFrame) -> DataFrame:
     ``original``: id, text.  Non-augmented texts must be equal; augmented ones
     are checked by ``meta.original_text`` where it is present.
     """
-    base = original.select("id", strip(F.col("text")).alias("expected"))
+    base = one_text_per_id(original).withColumnRenamed("text", "expected")
     joined = docs.join(base, "id")
     augmented = F.coalesce(F.col("meta.is_augmented"), F.lit(False))
     source = strip(F.col("meta.original_text"))
@@ -228,10 +247,19 @@ def integrity_vs_original(docs: DataFrame, original: DataFrame) -> DataFrame:
     ).where(F.col("issue").isNotNull())
 
 
-def cross_check(left: DataFrame, right: DataFrame) -> DataFrame:
+def one_text_per_id(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Trimmed text per id; of repeated ids the last by ``order`` counts (the
+    greatest text without one).  Combined before the shuffle, so a very
+    common id reaches the join as one row."""
+    text = strip(F.col("text"))
+    pick = F.max(text) if order is None else F.max_by(text, F.col(order))
+    return df.groupBy("id").agg(pick.alias("text"))
+
+
+def cross_check(left: DataFrame, right: DataFrame, order: str | None = None) -> DataFrame:
     """Ids common to both sides, on one side only, and text mismatches."""
-    a = left.select("id", strip(F.col("text")).alias("a"), F.lit(True).alias("in_a"))
-    b = right.select("id", strip(F.col("text")).alias("b"), F.lit(True).alias("in_b"))
+    a = one_text_per_id(left, order).select("id", F.col("text").alias("a"), F.lit(True).alias("in_a"))
+    b = one_text_per_id(right, order).select("id", F.col("text").alias("b"), F.lit(True).alias("in_b"))
     both = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     return a.join(b, "id", "full_outer").agg(
         F.count_if(both).alias("common"),
@@ -364,38 +392,67 @@ def balance_metadata(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- exploration
 
 
-def _prefixed(df: DataFrame) -> DataFrame:
-    names = [c for c in df.columns]
-    return df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot(
-        [], names, "item", "value"
-    )
+def eda_summary(rows: DataFrame) -> DataFrame:
+    """Overview numbers in long form (item, value).
+
+    All of them come from one table of value counts: message lengths, word
+    counts, entity counts and entity lengths by type.  It is as large as the
+    number of different lengths, not as the data.
+    """
 
+    def entry(kind: str, claim_type: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), claim_type.alias("claim_type"), value.cast("long").alias("value")
+        )
 
-def eda_summary(rows: DataFrame) -> DataFrame:
-    """Overview numbers in long form (item, value)."""
-    base = rows.select(
-        F.length("text").alias("n_chars"),
-        word_count(F.col("text")).alias("n_words"),
-        F.size("spans").alias("n_entities"),
+    none = F.lit(None).cast("string")
+    entries = F.concat(
+        F.array(
+            entry("char_length", none, F.length("text")),
+            entry("word_count", none, word_count(F.col("text"))),
+            entry("entities_per_message", none, F.size("spans")),
+        ),
+        F.transform("spans", lambda s: entry("entity_length", s["claim_type"], F.length(s["text"]))),
     )
-    overview = base.agg(
-        F.count("*").alias("total_messages"),
-        F.sum("n_entities").alias("total_entities"),
-        F.avg(F.when(F.col("n_entities") > 0, F.col("n_entities"))).alias("avg_entities_per_message"),
-        F.avg("n_chars").alias("avg_char_length"),
-        F.min("n_chars").alias("min_char_length"),
-        F.max("n_chars").alias("max_char_length"),
-        F.avg("n_words").alias("avg_word_count"),
+    counted = (
+        rows.select(F.explode(entries).alias("e"))
+        .groupBy("e.kind", "e.claim_type", "e.value")
+        .agg(F.count("*").alias("n"))
     )
-    lengths = rows.select(F.explode("spans").alias("s")).select(
-        F.length("s.text").alias("n"), F.col("s.claim_type").alias("claim_type")
+    kind, value, n = F.col("kind"), F.col("value"), F.col("n")
+
+    def of(name: str, x: Column) -> Column:
+        return F.when(kind == name, x)
+
+    def mean(name: str, extra: Column = F.lit(True)) -> Column:
+        return F.sum(F.when(extra, of(name, value * n))) / F.sum(F.when(extra, of(name, n)))
+
+    def median(name: str) -> Column:
+        # value counts are few, so the exact percentile's state is small
+        return F.percentile(of(name, value), 0.5, F.when(kind == name, n).otherwise(F.lit(0)))
+
+    overview = counted.agg(
+        F.sum(of("char_length", n)).alias("total_messages"),
+        F.sum(of("entity_length", n)).alias("total_entities"),
+        mean("entities_per_message", value > 0).alias("avg_entities_per_message"),
+        F.count_distinct(F.col("claim_type")).alias("entity_types"),
+        mean("char_length").alias("avg_char_length"),
+        median("char_length").alias("median_char_length"),
+        F.min(of("char_length", value)).alias("min_char_length"),
+        F.max(of("char_length", value)).alias("max_char_length"),
+        mean("word_count").alias("avg_word_count"),
+        median("word_count").alias("median_word_count"),
+        mean("entity_length").alias("avg_entity_length"),
+        median("entity_length").alias("median_entity_length"),
+        F.min(of("entity_length", value)).alias("min_entity_length"),
+        F.max(of("entity_length", value)).alias("max_entity_length"),
+    )
+    long = overview.select(*[F.col(c).cast("double").alias(c) for c in overview.columns]).unpivot(
+        [], overview.columns, "item", "value"
     )
-    entities = lengths.agg(
-        F.avg("n").alias("avg_entity_length"),
-        F.min("n").alias("min_entity_length"),
-        F.max("n").alias("max_entity_length"),
+    by_type = with_share(
+        counted.where(kind == "entity_length").groupBy("claim_type").agg(F.sum("n").alias("n")), "n", "pct", 100.0
     )
-    by_type = with_share(lengths.groupBy("claim_type").agg(F.count("*").alias("n")), "n", "pct", 100.0)
     per_type = by_type.select(
         F.explode(
             F.array(
@@ -404,17 +461,7 @@ def eda_summary(rows: DataFrame) -> DataFrame:
             )
         ).alias("x")
     ).select("x.*")
-    out = _prefixed(overview).unionByName(_prefixed(entities)).unionByName(per_type)
-    out = out.unionByName(
-        by_type.agg(F.count("*").cast("double").alias("value")).select(F.lit("entity_types").alias("item"), "value")
-    )
-    for df, column, item in (
-        (base, "n_chars", "median_char_length"),
-        (base, "n_words", "median_word_count"),
-        (lengths, "n", "median_entity_length"),
-    ):
-        out = out.unionByName(_prefixed(exact_quantiles(df, [], column, {item: 0.5})))
-    return out
+    return long.unionByName(per_type)
 
 
 def entity_length_by_type(rows: DataFrame) -> DataFrame:

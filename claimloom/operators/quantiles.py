@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 4096
+CELLS = 128
 
 
 def exact_quantiles(
@@ -15,25 +15,25 @@ def exact_quantiles(
     """One row per key group with one column per entry of ``probs``.
 
     Interpolates linearly between neighbouring ranks.  Equal values are
-    counted before any shuffle of rows; a histogram of ``BUCKETS`` cells finds
-    the cells that hold the wanted ranks, and only those cells are ordered.
+    counted before any shuffle of rows.  A bounded sketch of the distinct
+    values cuts each group into ``CELLS`` cells of about equal size, however
+    skewed the values are; exact counts per cell tell which cells hold the
+    wanted ranks, and only those cells are ordered.  The sketch decides only
+    where the cells end, never the result.
     Groups without a non-NULL value give no row.
     """
     spread = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
     counted = spread.agg(F.count("*").alias("_n"))
+    ends = [i / CELLS for i in range(1, CELLS)]
     bounds = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+        F.percentile_approx("_v", ends, 10000).alias("_ends"), F.sum("_n").alias("_total")
     )
 
     def by_key(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, keys) if keys else left.join(F.broadcast(right))
 
-    width = (F.col("_hi") - F.col("_lo")).cast("double")
-    cell = F.coalesce(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) * BUCKETS / F.nullif(width, F.lit(0.0))), F.lit(BUCKETS - 1)),
-        F.lit(0),
-    )
-    celled = by_key(counted, bounds).withColumn("_cell", cell)
+    cell = F.size(F.filter("_ends", lambda end: end <= F.col("_v")))
+    celled = by_key(counted, bounds).withColumn("_cell", cell).drop("_ends")
     cells = celled.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_in"), F.max("_total").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_before", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))

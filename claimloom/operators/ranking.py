@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratios import safe_ratio
+from ..functions.text import strip
 from .quantiles import exact_quantiles
 
 # Where result files keep their scores, first match wins.
@@ -130,12 +131,17 @@ def cost_estimate(spans: DataFrame) -> DataFrame:
     )
 
 
-def ood_summary(rows: DataFrame, order: str, first: int = 100) -> DataFrame:
-    """Claim totals and type shares over the first inputs, long form.
+def first_inputs(messages: DataFrame, order: str, first: int = 100) -> DataFrame:
+    """The first inputs in input order, taken before any text is processed."""
+    return messages.orderBy(order).limit(first)
 
-    ``rows``: text, ``pred`` array, and the input order.
+
+def ood_summary(rows: DataFrame) -> DataFrame:
+    """Claim totals and type shares, long form; blank texts are skipped.
+
+    ``rows``: text and the ``pred`` array.
     """
-    head = rows.orderBy(order).limit(first).where(F.length(F.trim("text")) > 0)
+    head = rows.where(F.length(strip(F.col("text"))) > 0)
     n = F.size("pred")
     totals = head.agg(
         F.count("*").cast("double").alias("messages"),

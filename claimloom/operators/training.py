@@ -112,63 +112,55 @@ BLOCK_ROWS = 1024
 SCORE_DIGITS = 6
 
 
-def _blocks(df: DataFrame, id_column: str, prefix: str) -> DataFrame:
-    """Rows of one type packed into blocks of about BLOCK_ROWS vectors.
+def example_topk(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """The k examples of the same claim type with the largest dot product.
 
-    The number of blocks of a type follows its size, so a very common type is
-    spread over many blocks and no block grows with the data.
+    Exact.  Each type's queries and examples are dealt into blocks of about
+    BLOCK_ROWS rows, as many as its size asks for; every pair of blocks of a
+    type is one matrix product in a task of its own and hands on only its k
+    best per query.  So neither a common type nor the number of pairs ever
+    meets in one place.  Scores are rounded before ranking and equal ones go
+    to the smaller example id.  Inputs: id, claim_type, embedding.
     """
-    sizes = df.groupBy("claim_type").agg(
-        F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("_blocks")
-    )
-    cell = F.pmod(F.xxhash64(id_column), F.col("_blocks")).cast("int")
-    # one row per claim type, so the size table is always small
-    return (
-        df.join(F.broadcast(sizes), "claim_type")
-        .withColumn(f"{prefix}_block", cell)
-        .groupBy("claim_type", f"{prefix}_block")
-        .agg(
-            F.collect_list(
-                F.struct(F.col(id_column).cast("long").alias("id"), F.col("embedding").alias("v"))
-            ).alias(f"{prefix}_rows")
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("claim_type").agg(
+            F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name)
         )
-    )
 
+    # one row per claim type present on both sides: always small
+    blocks = F.broadcast(sizes(queries, "n_q").join(sizes(examples, "n_e"), "claim_type"))
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        # aliases give both sides columns of their own, also for one input table
+        return df.join(blocks, "claim_type").select(
+            F.col("claim_type").alias("claim_type"),
+            F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other),
+            F.col("id").cast("long").alias("id"),
+            F.col("embedding").alias("embedding"),
+        )
 
-def example_topk(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k examples of the same claim type with the largest dot product.
+    def best(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or e.empty:
+            return pd.DataFrame({"query_id": [], "example_id": [], "score": []})
+        e = e.sort_values("id")
+        scores = np.round(
+            np.stack(q["embedding"]).astype(np.float64) @ np.stack(e["embedding"]).astype(np.float64).T,
+            SCORE_DIGITS,
+        )
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame(
+            {
+                "query_id": np.repeat(q["id"].to_numpy(), top.shape[1]),
+                "example_id": e["id"].to_numpy()[top].ravel(),
+                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+            }
+        )
 
-    Exact: every block of queries meets every block of examples of its type
-    in one matrix product, which hands on only its k best per query; the
-    second step merges these.  Scores are rounded before ranking and equal
-    ones go to the smaller example id.  Inputs: id, claim_type, embedding.
-    """
-    pairs = _blocks(queries, "id", "q").join(_blocks(examples, "id", "e"), "claim_type")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for q_rows, e_rows in zip(pdf["q_rows"], pdf["e_rows"]):
-            q_ids = np.array([r["id"] for r in q_rows], dtype=np.int64)
-            e_ids = np.array([r["id"] for r in e_rows], dtype=np.int64)
-            order = np.argsort(e_ids)
-            e_ids = e_ids[order]
-            q = np.array([r["v"] for r in q_rows], dtype=np.float64)
-            e = np.array([r["v"] for r in e_rows], dtype=np.float64)[order]
-            scores = np.round(q @ e.T, SCORE_DIGITS)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(q_ids, top.shape[1]),
-                        "example_id": e_ids[top].ravel(),
-                        "score": np.take_along_axis(scores, top, axis=1).ravel(),
-                    }
-                )
-            )
-        return pd.concat(out, ignore_index=True)
-
-    local = pairs.groupBy("claim_type", "q_block", "e_block").applyInPandas(
-        best, "query_id long, example_id long, score double"
-    )
+    key = ["claim_type", "q_block", "e_block"]
+    left = dealt(queries, "q_block", "n_q", "e_block", "n_e").groupBy(*key)
+    right = dealt(examples, "e_block", "n_e", "q_block", "n_q").groupBy(*key)
+    local = left.cogroup(right).applyInPandas(best, "query_id long, example_id long, score double")
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "example_id")
     return local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)

@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..operators import evaluate as ev
 from . import views as v
 from .registry import query
-from .views import _NWS, _WS  # noqa: F401
-
-_PRF = """
-  coalesce({tp}::DOUBLE / nullif({np}, 0), 0.0) AS p, coalesce({tp}::DOUBLE / nullif({na}, 0), 0.0) AS r
-"""
-
+from .views import _WS
 
 @query(
     "span_prf_by_type",
@@ -342,18 +336,7 @@ def agreement_report(spark, sf_dir):
     """,
 )
 def set_intersections(spark, sf_dir):
-    r = v.results(spark, sf_dir)
-
-    def claims(column: str):
-        s = r.select(F.explode(column).alias("s"))
-        return s.select(
-            strip(F.lower("s.text")).alias("t"), F.col("s.claim_type").alias("c")
-        ).distinct()
-
-    a, b = claims("gt"), claims("pred")
-    parts = {"both": a.intersect(b), "only_a": a.exceptAll(b), "only_b": b.exceptAll(a)}
-    frames = [df.groupBy(F.lit(k).alias("part")).agg(F.count("*").alias("n")) for k, df in parts.items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return ev.set_intersections(v.results(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- classes

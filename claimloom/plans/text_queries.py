@@ -583,5 +583,6 @@ def cost_estimate(spark, sf_dir):
     """,
 )
 def ood_summary(spark, sf_dir):
-    out = rk.ood_summary(v.results(spark, sf_dir), "doc_id")
+    head = rk.first_inputs(v.messages(spark, sf_dir), "doc_id", 100)
+    out = rk.ood_summary(v.results_of(head))
     return out.withColumn("value", F.round("value", 6))

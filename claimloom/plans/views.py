@@ -191,7 +191,11 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message: gold and predicted spans side by side."""
-    rows = with_words(messages(spark, sf_dir)).select(
+    return results_of(messages(spark, sf_dir))
+
+
+def results_of(some_messages: DataFrame) -> DataFrame:
+    rows = with_words(some_messages).select(
         "message_id",
         "doc_id",
         "text",
