@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 16
@@ -27,6 +27,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, body)
 
 
+def pin(df: DataFrame, *keep: str | Column, **columns: Column) -> DataFrame:
+    """Select ``keep`` plus computed columns that are evaluated once.
+
+    The values pass through a one-element generator.  Filters on them (also
+    the ones the optimizer derives from a later explode) stay above it, so a
+    costly expression is neither evaluated a second time nor moved in front
+    of a repartition.
+    """
+    fields = [value.alias(name) for name, value in columns.items()]
+    return df.select(*keep, F.inline(F.array(F.struct(*fields))))
+
+
 def indices(n: Column) -> Column:
     """0 .. n-1, and an empty array for n = 0."""
     return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
@@ -112,4 +124,4 @@ def islands(spans: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(spans), group)
+    return let(F.sort_array(spans), group)

@@ -20,7 +20,7 @@ IGNORED = -100
 def _one_hit(hits: Column, last: bool) -> Column:
     """Of (l, r) pairs keep one per l: the first or the last r."""
     return let(
-        F.array_sort(hits),
+        F.sort_array(hits),
         lambda xs: F.filter(
             xs,
             (lambda x, i: F.coalesce(F.get(xs, i + 1)["l"] != x["l"], F.lit(True)))
@@ -39,7 +39,7 @@ def _spread(n: Column, tagged: Column) -> Column:
         indices(n), lambda i: F.struct(i.alias("idx"), F.lit(1).alias("o"), F.lit("O").alias("tag"))
     )
     return let(
-        F.array_sort(F.concat(marked, blank)),
+        F.sort_array(F.concat(marked, blank)),
         lambda xs: F.transform(
             F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["idx"] != x["idx"])),
             lambda x: x["tag"],
@@ -114,18 +114,19 @@ def label_ids() -> Column:
 
 def bio_align_tokens(offsets: Column, text: Column, spans: Column) -> Column:
     """Label ids for token offsets: -100 for (0,0), 0 beyond the text."""
-    return let(
-        offsets,
-        lambda offs: let(
-            tags_at(F.transform(offs, lambda o: o["start"]), spans),
-            lambda tags: F.transform(
-                offs,
-                lambda o, i: F.when((o["start"] == 0) & (o["end"] == 0), F.lit(IGNORED))
-                .when(o["start"] >= F.length(text), F.lit(0))
-                .otherwise(F.coalesce(F.try_element_at(label_ids(), F.get(tags, i)), F.lit(0))),
-            ),
-        ),
-    )
+    def ids(offs: Column, tags: Column, n: Column) -> Column:
+        return F.transform(
+            offs,
+            lambda o, i: F.when((o["start"] == 0) & (o["end"] == 0), F.lit(IGNORED))
+            .when(o["start"] >= n, F.lit(0))
+            .otherwise(F.coalesce(F.try_element_at(label_ids(), F.get(tags, i)), F.lit(0))),
+        )
+
+    def build(offs: Column) -> Column:
+        tags = tags_at(F.transform(offs, lambda o: o["start"]), spans)
+        return let(tags, lambda ts: let(F.length(text), lambda n: ids(offs, ts, n)))
+
+    return let(offsets, build)
 
 
 def bio_decode(tokens: Column, confidence: str = "mean") -> Column:

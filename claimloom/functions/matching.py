@@ -107,7 +107,7 @@ def match_spans(
             F.filter(isl, lambda s: s["side"] == side),
             lambda s: F.struct(s["ord"], s["start"], s["end"], s["claim_type"]),
         )
-        return F.array_sort(kept)
+        return F.sort_array(kept)
 
     def fold(golds: Column, preds: Column) -> Column:
         def step(acc: Column, p: Column) -> Column:
@@ -180,7 +180,7 @@ def resolve_overlaps(spans: Column) -> Column:
             clash = F.filter(kept, lambda k: ~((s["end"] <= k["start"]) | (s["start"] >= k["end"])))
             return let(F.get(clash, F.lit(0)), place)
 
-        order = F.array_sort(
+        order = F.sort_array(
             F.transform(
                 isl,
                 lambda s: F.struct(s["start"], s["neg_len"], s["ord"], s["end"]),
@@ -194,7 +194,7 @@ def resolve_overlaps(spans: Column) -> Column:
         def back(kept: Column) -> Column:
             # by start; entries of equal start keep their list position
             return F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.transform(kept, lambda k, i: F.struct(k["start"], i.alias("i"), k["ord"]))
                 ),
                 lambda k: F.get(bound, k["ord"]),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import pin
 from ..functions.constants import ENTITY_CLAIMS, URGENCY_CONFIDENCE
 from ..functions.text import ENTITY_PATTERNS, pattern_matches, urgency_keyword
 
@@ -56,7 +57,7 @@ def entity_claims(entities: DataFrame, *keep: str) -> DataFrame:
 
 
 def urgency_claims(messages: DataFrame, *keep: str) -> DataFrame:
-    hit = messages.select(*keep, urgency_keyword(F.col("text")).alias("text"))
+    hit = pin(messages, *keep, found=urgency_keyword(F.col("text"))).withColumnRenamed("found", "text")
     return hit.where(F.col("text").isNotNull()).select(
         *keep,
         F.lit("URGENCY_CLAIM").alias("claim_type"),

@@ -481,7 +481,7 @@ def type_cooccurrence(rows: DataFrame, k: int = 15) -> DataFrame:
 
     Pairs are built inside the row: a message has at most 13 types.
     """
-    types = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["claim_type"])))
+    types = F.sort_array(F.array_distinct(F.transform("spans", lambda s: s["claim_type"])))
     pairs = let(
         types,
         lambda ts: F.flatten(

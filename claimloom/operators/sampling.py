@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import let, pin
 from ..functions.constants import GOLD_QUOTAS, PILOT_SIZE, POOL_TARGETS
+from ..session import stage
 
 CELL_DIGITS = 4  # 65,536 cells per class
 Need = Callable[[Column], Column]
@@ -24,9 +26,19 @@ def hash_key(seed: int | str, id_column: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
 
 
+def hashed(df: DataFrame, id_column: str, seed) -> DataFrame:
+    """Add the id as text, its hash and its histogram cell."""
+    return df.withColumns(
+        {
+            "_id": F.col(id_column).cast("string"),
+            "_h": hash_key(seed, id_column),
+            "_cell": F.substring(hash_key(seed, id_column), 1, CELL_DIGITS),
+        }
+    )
+
+
 def _histogram(df: DataFrame, id_column: str, seed, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    keyed = df.select(*by, F.col(id_column).cast("string").alias("_id"), hash_key(seed, id_column).alias("_h"))
-    keyed = keyed.withColumn("_cell", F.substring("_h", 1, CELL_DIGITS))
+    keyed = hashed(df, id_column, seed).select(*by, "_id", "_h", "_cell")
     cells = keyed.groupBy(*by, "_cell").agg(F.count("*").alias("_in"))
     earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumns(
@@ -186,12 +198,15 @@ def sample_n(messages: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def proportional_sample(rows: DataFrame, size: int = 150, seed: int = 42) -> DataFrame:
-    """A sample stratified by claim count (ham counts as 0).
+    """Ids and strata of a sample stratified by claim count (ham counts as 0).
 
     Per stratum int(size * share), at least 5, at most all; then trimmed.
+    The claim counts are staged once, since both cuts pass over them.
     """
     ham = F.col("label").eqNullSafe(F.lit("ham"))
-    strata = rows.withColumn("stratum", F.when(ham, 0).otherwise(F.size("spans")))
+    strata = stage(
+        rows.select("message_id", F.when(ham, 0).otherwise(F.size("spans")).alias("stratum")), "strata"
+    )
 
     def widen(cells: DataFrame) -> DataFrame:
         return cells.withColumn("_all", F.sum("_in").over(Window.partitionBy()))
@@ -267,15 +282,17 @@ def gold_quota_sample(
     steps = F.array(
         *[F.struct(F.lit(t).alias("group"), F.lit(q).alias("n")) for t, q in quotas.items()]
     )
-    start = F.array().cast("array<string>")
-    after_types = table.withColumn(
-        "chosen", F.aggregate(steps, start, lambda acc, s: pick(acc, s["group"], s["n"]))
-    )
-    open_slots = F.greatest(F.lit(target) - F.size("chosen"), F.lit(0))
-    sized = after_types.withColumn("ham_n", F.floor(open_slots / 2).cast("int")).withColumn(
-        "smish_n", (open_slots - F.col("ham_n")).cast("int")
+
+    def fill(chosen: Column) -> Column:
+        # both fills exclude the quota picks; ham and smish cannot overlap
+        room = F.greatest(F.lit(target) - F.size(chosen), F.lit(0))
+        ham_n = F.floor(room / 2).cast("int")
+        return let(
+            pick(chosen, "ham", ham_n), lambda both: pick(both, "smish", (room - ham_n).cast("int"))
+        )
+
+    by_quota = F.aggregate(
+        steps, F.array().cast("array<string>"), lambda acc, s: pick(acc, s["group"], s["n"])
     )
-    # both fills exclude the quota picks; ham and smish cannot overlap
-    filled = sized.withColumn("with_ham", pick(F.col("chosen"), "ham", F.col("ham_n")))
-    done = filled.withColumn("picked", pick(F.col("with_ham"), "smish", F.col("smish_n")))
+    done = pin(table, picked=let(by_quota, fill))
     return done.select(F.explode("picked").alias("message_id"))

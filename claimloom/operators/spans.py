@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let
+from ..functions.arrays import let, pin
 from ..functions.claims import schema_type, slot_dimension, slot_names
 from ..functions.matching import cross_overlaps, overlapping_pairs, resolve_overlaps
 from ..functions.prompts import seq2seq_input, seq2seq_target
@@ -27,7 +27,7 @@ def group_spans_by_message(messages: DataFrame, spans: DataFrame) -> DataFrame:
     The list is as long as the spans of one message, which its text bounds.
     """
     packed = spans.groupBy("message_id").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("claim_id", "start", "end", "claim_type", "text"))
         ).alias("spans")
     )
@@ -63,10 +63,11 @@ def span_overlap_pairs(rows: DataFrame) -> DataFrame:
 
 def resolve_rows(rows: DataFrame) -> DataFrame:
     """Replace ``spans`` by the resolved list; ``n_removed`` tells the loss."""
-    before = F.size("spans")
-    return rows.withColumn("resolved", resolve_overlaps(F.col("spans"))).select(
-        *[c for c in rows.columns if c != "spans"],
-        (before - F.size("resolved")).alias("n_removed"),
+    keep = [c for c in rows.columns if c != "spans"]
+    done = pin(rows, *keep, F.size("spans").alias("_n"), resolved=resolve_overlaps(F.col("spans")))
+    return done.select(
+        *keep,
+        (F.col("_n") - F.size("resolved")).alias("n_removed"),
         F.col("resolved").alias("spans"),
     )
 
@@ -98,7 +99,7 @@ def word_span_overlap(rows: DataFrame) -> DataFrame:
 def first_hits(hits: Column) -> Column:
     """Of sorted (l, r) pairs, the first per l."""
     return let(
-        F.array_sort(hits),
+        F.sort_array(hits),
         lambda xs: F.filter(
             xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["l"] != x["l"])
         ),
@@ -172,7 +173,7 @@ def schema_dimension_join(spans: DataFrame) -> DataFrame:
 
 def unknown_slots(parsed: DataFrame) -> DataFrame:
     """Slot names a claim's schema does not have; valid when there are none."""
-    unknown = F.array_sort(F.array_except(F.map_keys("slots"), slot_names(F.col("claim_type"))))
+    unknown = F.sort_array(F.array_except(F.map_keys("slots"), slot_names(F.col("claim_type"))))
     return parsed.select(
         "message_id",
         "claim_id",

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.constants import PHASE_ONE, PHASE_TWO, SLOT_SCHEMA, SUBSTITUTIONS
 from ..functions.prompts import slot_aware_input, slot_aware_target
-from .sampling import _histogram, hash_key
+from .sampling import _histogram, hash_key, hashed
 
 
 def slot_aware_pairs(messages: DataFrame, spans: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -59,21 +59,30 @@ def augment_substitute(examples: DataFrame, factor: int = 2, seed: int = 42) ->
     by a later entry.  ``examples``: example_id (unique), input, output,
     claim_type, message_id.
     """
-    keyed, cells = _histogram(examples, "example_id", seed, [])
+    _, cells = _histogram(examples, "example_id", seed, [])
     inside = Window.partitionBy("_cell").orderBy("_h", "_id")
-    ranked = keyed.join(F.broadcast(cells.select("_cell", "_before", "_n")), "_cell").select(
-        F.col("_id").alias("example_id"),
-        (F.col("_before") + F.row_number().over(inside) - 1).alias("rank"),
-        F.col("_n").alias("n"),
+    payload = ["input", "output", "claim_type", "message_id"]
+    # the cell table has a fixed bound of 65,536 rows
+    ranked = (
+        hashed(examples, "example_id", seed)
+        .join(F.broadcast(cells.select("_cell", "_before")), "_cell")
+        .select(
+            F.col("_id").alias("example_id"),
+            (F.col("_before") + F.row_number().over(inside) - 1).alias("rank"),
+            *payload,
+        )
     )
+    # one draw per rank and round, straight from the cell table
     rounds = F.filter(F.sequence(F.lit(0), F.lit(max(factor - 2, 0))), lambda r: r < factor - 1)
-    draws = ranked.select(F.explode(rounds).alias("round"), "rank", "n").select(
-        (F.col("round") * F.col("n") + F.col("rank")).alias("draw"), "n"
+    ranks = F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_in") - 1))
+    draws = (
+        cells.select("_n", ranks.alias("_r"))
+        .select("_n", "_r", F.explode(rounds).alias("_round"))
+        .select((F.col("_round") * F.col("_n") + F.col("_r")).alias("draw"), F.col("_n").alias("n"))
     )
-    drawn = draws.select(
+    chosen = draws.select(
         "draw", (_hash_int(F.lit(str(seed)), F.col("draw").cast("string")) % F.col("n")).alias("rank")
-    ).join(ranked.select("rank", "example_id"), "rank")
-    chosen = drawn.join(examples.withColumn("example_id", F.col("example_id").cast("string")), "example_id")
+    ).join(ranked, "rank")
 
     copies = chosen
     for word, options in SUBSTITUTIONS.items():
@@ -95,14 +104,7 @@ def augment_substitute(examples: DataFrame, factor: int = 2, seed: int = 42) ->
         "claim_type",
         F.concat("message_id", F.lit("_aug")).alias("message_id"),
     )
-    originals = examples.select(
-        F.col("example_id").cast("string").alias("example_id"),
-        F.lit(None).cast("long").alias("draw"),
-        "input",
-        "output",
-        "claim_type",
-        "message_id",
-    )
+    originals = ranked.select("example_id", F.lit(None).cast("long").alias("draw"), *payload)
     return originals.unionByName(copies)
 
 

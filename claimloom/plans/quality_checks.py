@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import pin
 from ..functions.text import PUNCTUATION, SPACE
 from ..operators import evaluate as ev
 from ..operators import quality as q
@@ -345,7 +346,6 @@ def top_entities_per_type(spark, sf_dir):
     """,
 )
 def topk_issues(spark, sf_dir):
-    rows = v.with_words(v.messages(spark, sf_dir)).select(
-        "message_id", "text", "label", v.gold_array().alias("gt"), v.pred_array().alias("pred")
-    )
+    words = v.with_words(v.messages(spark, sf_dir))
+    rows = pin(words, "message_id", "text", "label", gt=v.gold_array(), pred=v.pred_array())
     return ev.identity_issues(ev.annotator_agreement(rows), 20)

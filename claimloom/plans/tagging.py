@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bio as fb
-from ..functions.arrays import let
+from ..functions.arrays import let, pin
 from ..functions.claims import collapse
 from ..functions.constants import MODEL_TYPES
 from ..operators import bio
@@ -112,9 +112,8 @@ _IDS = "[" + ", ".join(f"'{t}'" for t in MODEL_TYPES) + "]"
     """,
 )
 def bio_align_tokens(spark, sf_dir):
-    rows = v.with_words(v.messages(spark, sf_dir)).select(
-        "message_id", "doc_id", "text", v.raw_array().alias("spans"), _offsets().alias("offsets")
-    )
+    words = v.with_words(v.messages(spark, sf_dir))
+    rows = pin(words, "message_id", "text", spans=v.raw_array(), offsets=_offsets())
     return bio.bio_align_tokens(rows)
 
 

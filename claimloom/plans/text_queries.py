@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as pr
 from ..functions import responses as rs
 from ..functions import text as tx
-from ..functions.arrays import let
+from ..functions.arrays import let, pin
 from ..functions.constants import MONTH_MARKS, TIME_MARKS, URGENCY_KEYWORDS
 from ..functions.ratios import safe_ratio as ratio_of
 from ..operators import entities as en
@@ -50,7 +50,7 @@ def _any(marks: list[str]) -> str:
 )
 def strip_device_metadata(spark, sf_dir):
     pages = v.spread(v.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    out = pages.select("page_id", tx.strip_device_metadata(F.col("html")).alias("text"))
+    out = pin(pages, "page_id", text=tx.strip_device_metadata(F.col("html")))
     return out.where(F.col("text") != "")
 
 

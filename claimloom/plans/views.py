@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import indices, let
+from ..functions.arrays import indices, let, pin
 from ..functions.claims import collapse, slot_names, type_at
 from ..functions.constants import CLAIM_TYPES, RARE_TYPES, SLOT_SCHEMA
 from ..functions.text import slice_text, with_words
@@ -155,20 +155,18 @@ def pred_array() -> Column:
             ),
         )
 
-    return F.array_sort(bind_words(scored))
+    return F.sort_array(bind_words(scored))
 
 
 def gold_rows(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """One row per message with its gold spans as an array."""
-    return with_words(messages(spark, sf_dir, *extra)).select(
-        "message_id", "doc_id", "text", "label", *extra, gold_array().alias("spans")
-    )
+    rows = with_words(messages(spark, sf_dir, *extra))
+    return pin(rows, "message_id", "doc_id", "text", "label", *extra, spans=gold_array())
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_words(messages(spark, sf_dir)).select(
-        "message_id", "doc_id", "text", "label", raw_array().alias("spans")
-    )
+    rows = with_words(messages(spark, sf_dir))
+    return pin(rows, "message_id", "doc_id", "text", "label", spans=raw_array())
 
 
 def explode_span_rows(rows: DataFrame, *keep: str) -> DataFrame:
@@ -195,27 +193,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results_of(some_messages: DataFrame) -> DataFrame:
-    rows = with_words(some_messages).select(
-        "message_id",
-        "doc_id",
-        "text",
-        "label",
-        gold_array().alias("g"),
-        pred_array().alias("pred"),
-    )
-    return rows.select(
-        "message_id",
-        "doc_id",
-        "text",
-        "label",
-        F.transform(
-            "g",
-            lambda s: F.struct(
-                s["start"], s["end"], collapse(s["claim_type"]).alias("claim_type"), s["text"]
-            ),
-        ).alias("gt"),
-        "pred",
+    gt = F.transform(
+        gold_array(),
+        lambda s: F.struct(
+            s["start"], s["end"], collapse(s["claim_type"]).alias("claim_type"), s["text"]
+        ),
     )
+    rows = with_words(some_messages)
+    return pin(rows, "message_id", "doc_id", "text", "label", gt=gt, pred=pred_array())
 
 
 def parsed_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,7 +408,7 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     tokens = bind_words(build)
-    return rows.select("message_id", "doc_id", "text", "label", tokens.alias("tokens"))
+    return pin(rows, "message_id", "doc_id", "text", "label", tokens=tokens)
 
 
 # --------------------------------------------------------------------------

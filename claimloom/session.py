@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +48,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             "claimloom writes intermediate tables there"
         )
     return f"{tempfile.mkdtemp(prefix='claimloom-')}/{name}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Used where several passes follow over something costly to derive; a lost
+    executor then costs a re-read, not the derivation.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

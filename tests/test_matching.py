@@ -77,7 +77,7 @@ CASES = {
 @pytest.mark.parametrize("name", list(CASES))
 def test_greedy_equals_loop(spark, name):
     choose, score = CASES[name]
-    rows = random_rows(250, seed=hash(name) % 1000)
+    rows = random_rows(250, seed=len(name))
     got = frame(spark, rows).select(
         "message_id", mt.match_spans(F.col("gt"), F.col("pred"), choose).alias("m")
     )
