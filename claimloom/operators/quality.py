@@ -15,6 +15,7 @@ from ..functions.claims import type_dimension
 from ..functions.matching import overlapping_pairs
 from ..functions.ratios import safe_ratio
 from ..functions.text import fingerprint, slice_text, strip, word_count
+from ..session import stage
 from ..sources.annotations import first_result
 from .labels import with_share
 from .quantiles import exact_quantiles
@@ -177,10 +178,13 @@ def dup_totals(docs: DataFrame) -> DataFrame:
 def near_dup_hash(messages: DataFrame, id_column: str, salts: int = 16) -> DataFrame:
     """Rows whose normalised text was seen under a smaller id.
 
+    Ids and fingerprints are staged, so texts are read and normalised once.
     Only fingerprints that repeat are joined back, each under ``salts`` keys,
     so a text with very many copies is spread over tasks.
     """
-    marked = messages.select(F.col(id_column).alias("id"), fingerprint(F.col("text")).alias("hash"))
+    marked = stage(
+        messages.select(F.col(id_column).alias("id"), fingerprint(F.col("text")).alias("hash")), "prints"
+    )
     groups = (
         marked.groupBy("hash")
         .agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))

@@ -46,7 +46,7 @@ def scan_annotations(spark, sf_dir):
 
 @query("flatten_messages", "SELECT message_id, text, label, split FROM f_meta")
 def flatten_messages(spark, sf_dir):
-    return an.flatten_messages(v.annotations(spark, sf_dir))
+    return an.flatten_messages(v.annotations(spark, sf_dir, pinned=False))
 
 
 _SPANS = """
@@ -145,7 +145,7 @@ def sink_parsed_claims(spark, sf_dir):
 )
 def sink_flat_csv(spark, sf_dir):
     path = scratch_dir(spark, "flat_csv")
-    sinks.sink_flat_csv(v.annotations(spark, sf_dir), path)
+    sinks.sink_flat_csv(v.annotations(spark, sf_dir, pinned=False), path)
     return (
         spark.read.schema(
             "text string, label string, is_augmented boolean, source string, augmentation_type string"
@@ -194,7 +194,7 @@ def sink_batch_jsonl(spark, sf_dir):
 )
 def sink_split_manifest(spark, sf_dir):
     path = scratch_dir(spark, "manifest")
-    docs = v.annotations(spark, sf_dir)
+    docs = v.annotations(spark, sf_dir, pinned=False)
     sinks.sink_split_manifest(an.flatten_messages(docs), v.gold(spark, sf_dir), path)
     return spark.read.schema("split string, total long, ham long, smish long, claims long").json(
         f"{path}/stats"
@@ -265,7 +265,7 @@ def collapse_rare_types(spark, sf_dir):
 
 @query("filter_by_split", "SELECT message_id, label FROM f_meta WHERE split = 'test'")
 def filter_by_split(spark, sf_dir):
-    docs = an.flatten_messages(v.annotations(spark, sf_dir))
+    docs = an.flatten_messages(v.annotations(spark, sf_dir, pinned=False))
     return lb.filter_by_split(docs, "test").select("message_id", "label")
 
 
@@ -357,7 +357,7 @@ def preview_truncate(spark, sf_dir):
     """,
 )
 def class_distribution(spark, sf_dir):
-    out = lb.class_distribution(an.flatten_messages(v.annotations(spark, sf_dir)))
+    out = lb.class_distribution(an.flatten_messages(v.annotations(spark, sf_dir, pinned=False)))
     return out.withColumn("pct", F.round("pct", 6))
 
 

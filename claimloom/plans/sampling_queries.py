@@ -208,7 +208,7 @@ def task_document(spark, sf_dir):
 )
 def union_balance(spark, sf_dir):
     ham = an.task_document(v.messages(spark, sf_dir).where("label = 'ham'"), "message_id", "ham_source")
-    phishing = v.annotations(spark, sf_dir).where(~F.col("meta.label").eqNullSafe(F.lit("ham")))
+    phishing = v.annotations(spark, sf_dir, pinned=False).where(~F.col("meta.label").eqNullSafe(F.lit("ham")))
     both = tr.union_balance(phishing.select("id", "data", "meta"), ham)
     return both.select("id", "meta.label", "meta.is_augmented", "meta.source", "shuffle_key")
 

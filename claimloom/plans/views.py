@@ -284,9 +284,16 @@ def parsed_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotation documents over the gold spans, with damage in some of them."""
-    rows = gold_rows(spark, sf_dir, "source")
+def annotations(spark: SparkSession, sf_dir: str, pinned: bool = True) -> DataFrame:
+    """Annotation documents over the gold spans, with damage in some of them.
+
+    Pinned spans are derived once, but always; readers that only look at
+    texts and metadata take the other form, where unused spans are pruned.
+    """
+    if pinned:
+        rows = gold_rows(spark, sf_dir, "source")
+    else:
+        rows = with_words(messages(spark, sf_dir, "source")).withColumn("spans", gold_array())
     d, damage = F.col("doc_id"), F.col("doc_id") % 50
 
     def value(s: Column, first: Column) -> Column:
