@@ -31,20 +31,22 @@ def _one_hit(hits: Column, last: bool) -> Column:
 
 
 def _spread(n: Column, tagged: Column) -> Column:
-    """Tags for all n positions from sparse (idx, tag) entries, "O" elsewhere."""
-    marked = F.transform(
-        tagged, lambda t: F.struct(t["idx"].alias("idx"), F.lit(0).alias("o"), t["tag"].alias("tag"))
-    )
-    blank = F.transform(
-        indices(n), lambda i: F.struct(i.alias("idx"), F.lit(1).alias("o"), F.lit("O").alias("tag"))
-    )
-    return let(
-        F.sort_array(F.concat(marked, blank)),
-        lambda xs: F.transform(
-            F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["idx"] != x["idx"])),
-            lambda x: x["tag"],
-        ),
-    )
+    """Tags for all n positions from (idx, tag) entries in idx order: the
+    gaps between them are filled with "O"."""
+
+    def build(xs: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.coalesce(F.get(xs, i)["idx"], F.lit(-1))
+
+        def blanks(count: Column) -> Column:
+            return F.array_repeat(F.lit("O"), count)
+
+        filled = F.transform(
+            xs, lambda x, i: F.concat(blanks(x["idx"] - at(i - 1) - 1), F.array(x["tag"]))
+        )
+        return F.concat(F.flatten(filled), blanks(n - at(F.size(xs) - 1) - 1))
+
+    return let(tagged, build)
 
 
 def _intervals(starts: Column, ends: Callable[[Column, Column], Column]) -> Column:
