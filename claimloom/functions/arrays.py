@@ -96,6 +96,35 @@ def running_max(values: Column) -> Column:
     return running(values, lambda a, b: F.greatest(a, b), LOWEST)
 
 
+def count_below(ordered: Column, value: Column) -> Column:
+    """How many elements of an ascending array are smaller than ``value``.
+
+    Bisection: the number of steps grows with the logarithm of the length.
+    Bind ``ordered`` with ``let`` when this runs inside a lambda.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
+
+    def halve(acc: Column, _step: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        open_ = acc["lo"] < acc["hi"]
+        below = open_ & (F.get(ordered, mid) < value)
+        return F.struct(
+            F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
+            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
+        )
+
+    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+
+
+def ranges_hit(first: Column, stop: Column, r: Column) -> Column:
+    """array<struct<l, r>> for l in first .. stop-1."""
+    return F.transform(
+        F.filter(F.sequence(first, F.greatest(stop - 1, first)), lambda i: i < stop),
+        lambda i: F.struct(i.alias("l"), r.alias("r")),
+    )
+
+
 def islands(spans: Column) -> Column:
     """Split spans into chains of overlapping ones.
 

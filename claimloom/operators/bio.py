@@ -38,7 +38,7 @@ def model_spans(spans: Column) -> Column:
 def bio_encode_chars(rows: DataFrame) -> DataFrame:
     """Word tags taken from the character tag at each word's start."""
     return _tagged_words(
-        with_words(rows), bio.tags_at(F.col("ws"), model_spans(F.col("spans")))
+        with_words(rows), bio.tags_at(F.col("ws"), model_spans(F.col("spans")), ascending=True)
     )
 
 

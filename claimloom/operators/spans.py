@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let, pin
 from ..functions.claims import schema_type, slot_dimension, slot_names
-from ..functions.matching import cross_overlaps, overlapping_pairs, resolve_overlaps
+from ..functions.bio import word_hits
+from ..functions.matching import overlapping_pairs, resolve_overlaps
 from ..functions.prompts import seq2seq_input, seq2seq_target
 from ..functions.text import with_words
 from .evaluate import last_per_key
@@ -83,7 +84,7 @@ def word_span_overlap(rows: DataFrame) -> DataFrame:
     """For each word that meets a span: the first such span in list order."""
     hits = let(
         word_intervals(F.col("w"), F.col("ws")),
-        lambda words: cross_overlaps(words, F.col("spans")),
+        lambda words: let(F.col("spans"), lambda spans: word_hits(words, spans)),
     )
     pairs = with_words(rows).select(
         "message_id", "spans", F.explode(first_hits(hits)).alias("x")

@@ -198,7 +198,7 @@ def strict_entity_prf(spark, sf_dir):
         lambda s: F.struct(s["start"], s["end"], collapse(s["claim_type"]).alias("claim_type")),
     )
     rows = v.with_words(v.messages(spark, sf_dir)).select(
-        let(gold, lambda g: fb.tags_at(F.col("ws"), g)).alias("true_tags"),
+        let(gold, lambda g: fb.tags_at(F.col("ws"), g, ascending=True)).alias("true_tags"),
         F.transform("w", pred_tag).alias("pred_tags"),
     )
     out = bio.strict_entity_prf(rows)
