@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing
+from . import decontam, langid, licenses, linededup, packing, surrogates, winnow
 from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -39,3 +39,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(langid.training_rows(docs))
     return langid.predict(docs, model)
+
+
+@query("op3_line_dedup", linededup.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_scan", licenses.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents"))
