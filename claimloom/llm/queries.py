@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, licenses, linededup, packing, surrogates, winnow
+from . import decontam, jaccard, langid, licenses, linededup, packing, surrogates, winnow
 from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_surrogates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
