@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, licenses, linededup, packing, surrogates, winnow
+from . import chat, decontam, jaccard, langid, licenses, linededup, packing, substrings, surrogates, winnow
 from .common import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -78,3 +78,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = chat.canonical(chat.records(given.unionAll(extra)))
     return chat.read_back(chat.formatted(turns))
+
+
+@query("op5_substring_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
