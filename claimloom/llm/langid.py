@@ -5,7 +5,8 @@ lower-cased text, digits left out, white space one blank), weighted by square-ro
 frequency times inverse document frequency and scaled to length one.  The vectors
 of a language's training texts are clustered on the sphere; a text takes the
 language of the nearest of all centroids by cosine.  A text farther from its
-centroid than any training text of that language (times ``slack``) is rejected.
+centroid than any training text of that language (times ``slack``) is rejected, but
+none within ``LEAST_RADIUS``: texts of a few words are far from every centroid.
 
 Learning uses a bounded sample: at most ``per_language`` texts of each of at most
 ``max_languages`` languages, chosen by a hash of id and text; only their n-gram
@@ -34,6 +35,7 @@ PER_LANGUAGE = 300
 MAX_LANGUAGES = 200
 CLUSTERS = 4
 SLACK = 1.05
+LEAST_RADIUS = 0.88
 CHUNK = 1 << 21
 
 
@@ -117,7 +119,7 @@ def train(rows: list[tuple[str, np.ndarray]], k: int = CLUSTERS, slack: float =
     label = np.array([languages.index(language) for language, _ in rows])
     groups = [cluster(vectors[label == i], k) for i in range(len(languages))]
     radius = [
-        min(0.98, slack * float(1 - (vectors[label == i] @ g.T).max(axis=1).min()))
+        min(0.98, max(LEAST_RADIUS, slack * float(1 - (vectors[label == i] @ g.T).max(axis=1).min())))
         for i, g in enumerate(groups)
     ]
     owner = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
