@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_SPACE
+from ..session import stage
 from .evaluate import binary_report
 from .sampling import stratified_split
 
@@ -44,8 +45,11 @@ def classify(model: PipelineModel, messages: DataFrame) -> DataFrame:
 
 
 def ham_smish_classifier(messages: DataFrame) -> DataFrame:
-    """Train on 80 % (stratified by class), report on the rest."""
+    """Train on 80 % (stratified by class), report on the rest.
+
+    The split is staged: term weights, regression and report read the same rows.
+    """
     named = messages.withColumn("label", F.when(F.col("class") == "HAM", "ham").otherwise("smish"))
-    split = with_target(stratified_split(named))
+    split = stage(with_target(stratified_split(named)).select("message_id", "text", "class", "label", "split"), "split")
     model = pipeline().fit(split.where("split = 'train'"))
     return binary_report(classify(model, split.where("split = 'test'")), "class", "predicted")

@@ -181,13 +181,28 @@ def span_prf_overall(results: DataFrame) -> DataFrame:
     )
 
 
-def span_errors(results: DataFrame, context: int = 100) -> DataFrame:
-    """Errors of the match that ignores types, one row per error."""
+def span_errors(results: DataFrame, context: int = 50) -> DataFrame:
+    """Errors of the match that ignores types, one row per error.
+
+    ``context`` characters of the message on both sides of the gold span, or
+    of the predicted one where there is no gold span, show where it lies.
+    """
+
+    def around(m: Column) -> Column:
+        start = F.coalesce(m["g"]["start"], m["p"]["start"])
+        end = F.coalesce(m["g"]["end"], m["p"]["end"])
+        first = F.greatest(start - context, F.lit(0))
+        return F.struct(
+            m["g"].alias("g"),
+            m["p"].alias("p"),
+            m["gt_ord"].alias("gt_ord"),
+            m["pred_ord"].alias("pred_ord"),
+            F.substring(F.col("text"), first + 1, end + context - first).alias("context"),
+        )
+
     rows = results.select(
-        "message_id",
-        F.substring("text", 1, context).alias("context"),
-        F.explode(_pairs(first_any_type)).alias("m"),
-    )
+        "message_id", F.explode(F.transform(_pairs(first_any_type), around)).alias("m")
+    ).select("*", F.col("m.context").alias("context"))
     g, p = F.col("m.g"), F.col("m.p")
     moved = (g["start"] != p["start"]) | (g["end"] != p["end"])
     kind = (
@@ -546,7 +561,7 @@ def identity_issues(agreement: DataFrame, n: int = 20) -> DataFrame:
     """The first n identity claims only annotator A saw."""
     used = agreement.where(~F.col("label").eqNullSafe(F.lit("ham")))
     rows = used.select(
-        "message_id", F.substring("text", 1, 100).alias("message"), F.explode("only_a").alias("c")
+        "message_id", F.col("text").alias("message"), F.explode("only_a").alias("c")
     ).where(F.col("c.label") == "IDENTITY_CLAIM")
     return (
         rows.select("message_id", "message", F.col("c.text").alias("text"))

@@ -147,17 +147,34 @@ def dataset_quality_verdict(rows: DataFrame) -> DataFrame:
 
 
 def dup_ids_texts(docs: DataFrame) -> DataFrame:
-    """Ids and trimmed texts that occur more than once, with counts."""
-
-    def repeated(kind: str, value: Column) -> DataFrame:
-        return (
-            docs.groupBy(value.alias("value"))
-            .agg(F.count("*").alias("n"))
-            .where((F.col("n") > 1) & (F.col("value") != ""))
-            .select(F.lit(kind).alias("kind"), "value", "n")
-        )
+    """Ids and trimmed texts that occur more than once, with counts.
 
-    return repeated("id", F.col("id")).unionByName(repeated("text", strip(F.col("data.text"))))
+    Texts are counted by digest and length; one of each repeated text is then
+    looked up by the id it was seen under.
+    """
+    ids = (
+        docs.groupBy(F.col("id").alias("value"))
+        .agg(F.count("*").alias("n"))
+        .where((F.col("n") > 1) & (F.col("value") != ""))
+        .select(F.lit("id").alias("kind"), "value", "n")
+    )
+    text = strip(F.col("data.text"))
+    keyed = docs.select(F.col("id").alias("id"), F.md5(text).alias("h"), F.length(text).alias("len"))
+    again = (
+        keyed.where("len > 0")
+        .groupBy("h", "len")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .where("n > 1")
+    )
+    shown = docs.select(F.col("id").alias("id"), text.alias("value")).withColumns(
+        {"h": F.md5("value"), "len": F.length("value")}
+    )
+    texts = (
+        shown.join(again, ["id", "h", "len"])
+        .dropDuplicates(["h", "len"])
+        .select(F.lit("text").alias("kind"), "value", "n")
+    )
+    return ids.unionByName(texts)
 
 
 def dup_totals(docs: DataFrame) -> DataFrame:
@@ -175,12 +192,13 @@ def dup_totals(docs: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(texts))
 
 
-def near_dup_hash(messages: DataFrame, id_column: str, salts: int = 16) -> DataFrame:
+def near_dup_hash(messages: DataFrame, id_column: str, rows_per_key: int = 100_000) -> DataFrame:
     """Rows whose normalised text was seen under a smaller id.
 
     Ids and fingerprints are staged, so texts are read and normalised once.
-    Only fingerprints that repeat are joined back, each under ``salts`` keys,
-    so a text with very many copies is spread over tasks.
+    Only fingerprints that repeat are joined back, under as many salted keys as
+    the copies of the most common one fill, ``rows_per_key`` each; a text
+    with fewer copies uses the first few of them only.
     """
     marked = stage(
         messages.select(F.col(id_column).alias("id"), fingerprint(F.col("text")).alias("hash")), "prints"
@@ -189,10 +207,16 @@ def near_dup_hash(messages: DataFrame, id_column: str, salts: int = 16) -> DataF
         marked.groupBy("hash")
         .agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    salted = marked.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    return salted.join(groups, ["hash", "salt"]).where("id > first_id").select(
+    groups = stage(groups, "repeated")
+    keys = F.ceil(F.col("copies") / F.lit(rows_per_key)).cast("int")
+    crowded = groups.where(keys > 1).select("hash", keys.alias("keys"))
+    # at most rows / rows_per_key fingerprints are crowded
+    salted = marked.join(crowded, "hash", "left").withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("keys")), F.lit(0)).cast("int")
+    )
+    dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), keys - 1)))
+    return salted.join(dealt, ["hash", "salt"]).where("id > first_id").select(
         "id", "first_id", "hash", "copies"
     )
 
@@ -246,8 +270,8 @@ def integrity_vs_original(docs: DataFrame, original: DataFrame) -> DataFrame:
     return joined.select(
         F.col("id").alias("message_id"),
         issue.alias("issue"),
-        F.substring("expected", 1, 60).alias("expected"),
-        F.substring(got, 1, 60).alias("got"),
+        "expected",
+        got.alias("got"),
     ).where(F.col("issue").isNotNull())
 
 

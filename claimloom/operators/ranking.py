@@ -131,9 +131,9 @@ def cost_estimate(spans: DataFrame) -> DataFrame:
     )
 
 
-def first_inputs(messages: DataFrame, order: str, first: int = 100) -> DataFrame:
-    """The first inputs in input order, taken before any text is processed."""
-    return messages.orderBy(order).limit(first)
+def first_inputs(messages: DataFrame, order: str, first: int | None = None) -> DataFrame:
+    """All inputs, or for a demonstration the first ones in input order."""
+    return messages if first is None else messages.orderBy(order).limit(first)
 
 
 def ood_summary(rows: DataFrame) -> DataFrame:

@@ -258,8 +258,10 @@ def gold_quota_sample(
     h = hash_key(seed, "message_id")
 
     def shortlist(df: DataFrame, n: int) -> DataFrame:
-        order = Window.partitionBy("group").orderBy("_h", "message_id")
-        return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
+        """The first n of each group in hash order, cut by the histogram."""
+        cuts = cut_points(df, "message_id", seed, {"n": lambda size: F.least(size, F.lit(n))}, ["group"])
+        key = F.struct(F.col("_h"), F.col("message_id").cast("string").alias("_id"))
+        return df.join(cuts, "group").where(key <= F.col("_cut_n")).drop("_cut_n")
 
     by_type = known.where(F.col("claim_type").isin(list(quotas))).select(
         F.col("claim_type").alias("group"), "message_id", h.alias("_h")

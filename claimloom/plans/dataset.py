@@ -72,15 +72,24 @@ def scan_raw_csv(spark, sf_dir):
     rows.select(F.col("text").alias("Message"), F.upper("label").alias("type")).write.options(
         **tabular.CSV_OPTIONS
     ).csv(path)
-    return tabular.read_raw_csv(spark, path)
+    return tabular.read_raw_csv(spark, path, multiline=True)
 
 
-@query("scan_csv_text_col", rf"SELECT text FROM documents WHERE regexp_replace(text, {_TRIM}) <> ''")
+@query(
+    "scan_csv_text_col",
+    rf"""SELECT CASE WHEN contains(text, 'é') THEN text ELSE text || chr(65533) END AS text
+    FROM documents WHERE regexp_replace(text, {_TRIM}) <> ''""",
+)
 def scan_csv_text_col(spark, sf_dir):
+    """Files of two encodings in one folder; those in UTF-8 also hold a literal U+FFFD."""
     path = scratch_dir(spark, "ood_csv")
-    rows = v.documents(spark, sf_dir, "text", "lang")
-    rows.select("lang", F.col("text").alias("MainText")).write.options(**tabular.CSV_OPTIONS).csv(path)
-    return tabular.read_text_csv(spark, path)
+    rows = v.documents(spark, sf_dir, "text", "lang").select("lang", F.col("text").alias("MainText"))
+    western = F.contains("MainText", F.lit("é"))
+    marked = F.when(~western, F.concat("MainText", F.lit("\ufffd"))).otherwise(F.col("MainText"))
+    options = tabular.CSV_OPTIONS
+    rows.withColumn("MainText", marked).where(~western).write.options(**options).csv(path)
+    rows.where(western).write.options(**options, encoding="ISO-8859-1").mode("append").csv(path)
+    return tabular.read_text_csv(spark, path, multiline=True)
 
 
 @query(
@@ -408,8 +417,12 @@ def group_spans_by_message(spark, sf_dir):
 @query(
     "span_overlap_pairs",
     """
-    SELECT a.message_id, a.claim_id AS claim_a, b.claim_id AS claim_b FROM f_raw a JOIN f_raw b
-    ON a.doc_id = b.doc_id AND a.claim_id < b.claim_id AND a.s < b.e AND b.s < a.e
+    WITH cut AS (
+      SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
+                THEN 1 ELSE 0 END AS opens FROM f_raw),
+    isl AS MATERIALIZED (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s, claim_id ROWS UNBOUNDED PRECEDING) AS island FROM cut)
+    SELECT a.message_id, a.claim_id AS claim_a, b.claim_id AS claim_b FROM isl a JOIN isl b
+    ON a.doc_id = b.doc_id AND a.island = b.island AND a.claim_id < b.claim_id AND a.s < b.e AND b.s < a.e
     """,
 )
 def span_overlap_pairs(spark, sf_dir):

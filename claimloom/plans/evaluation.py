@@ -79,7 +79,8 @@ def message_evaluation(spark, sf_dir):
                      WHEN g_type <> p_type THEN 'type_confusion'
                      WHEN g_s <> p_s OR g_e <> p_e THEN 'boundary_error' END AS kind FROM m_full_any)
     SELECT CAST(k.doc_id AS VARCHAR) AS message_id, kind, g_type AS gt_type, p_type AS pred_type, g_text AS gt_text,
-           p_text AS pred_text, confidence, substring(m.text, 1, 100) AS context
+           p_text AS pred_text, confidence,
+           substring(m.text, greatest(coalesce(g_s, p_s) - 50, 0) + 1, coalesce(g_e, p_e) + 50 - greatest(coalesce(g_s, p_s) - 50, 0)) AS context
     FROM k JOIN f_messages m ON m.doc_id = k.doc_id WHERE kind IS NOT NULL
     """,
 )

@@ -65,9 +65,13 @@ def boundary_mismatch(spark, sf_dir):
     "dataset_quality_verdict",
     f"""
     WITH n AS (SELECT m.doc_id, (SELECT count(*) FROM f_spans s WHERE s.doc_id = m.doc_id) AS k FROM f_messages m),
+    cut AS (
+      SELECT *, CASE WHEN s >= coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, claim_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
+                THEN 1 ELSE 0 END AS opens FROM f_spans),
+    isl AS MATERIALIZED (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY s, claim_id ROWS UNBOUNDED PRECEDING) AS island FROM cut),
     t AS (
       SELECT count(*) AS total_messages, count(*) FILTER (doc_id % 50 > 1 AND k = 0) AS ham_messages, count(*) FILTER (k > 0) AS smish_messages,
-             (SELECT count(*) FROM f_spans a JOIN f_spans b ON a.doc_id = b.doc_id AND a.claim_id < b.claim_id AND a.s < b.e AND b.s < a.e) AS span_overlaps,
+             (SELECT count(*) FROM isl a JOIN isl b ON a.doc_id = b.doc_id AND a.island = b.island AND a.claim_id < b.claim_id AND a.s < b.e AND b.s < a.e) AS span_overlaps,
              {_BAD} AS boundary_mismatches,
              (SELECT count(*) FROM (SELECT claim_type FROM f_spans GROUP BY 1 HAVING count(*) < 50)) AS rare_types FROM n),
     i AS (SELECT *, concat_ws(',', CASE WHEN ham_messages < total_messages * 0.3 THEN 'low_ham' END, CASE WHEN span_overlaps > 0 THEN 'overlaps' END,
@@ -151,8 +155,8 @@ _ORIGINAL = """
 _LOST = rf"""
     lost AS (
       SELECT m.message_id, CASE WHEN is_augmented THEN 'original text mismatch' ELSE 'message text altered' END AS issue,
-             substring(regexp_replace(o.text, {_TRIM}), 1, 60) AS expected,
-             substring(CASE WHEN is_augmented THEN regexp_replace(original_text, {_TRIM}) ELSE regexp_replace(m.text, {_TRIM}) END, 1, 60) AS got
+             regexp_replace(o.text, {_TRIM}) AS expected,
+             CASE WHEN is_augmented THEN regexp_replace(original_text, {_TRIM}) ELSE regexp_replace(m.text, {_TRIM}) END AS got
       FROM f_meta m JOIN o USING (message_id)
       WHERE CASE WHEN is_augmented THEN regexp_replace(original_text, {_TRIM}) ELSE regexp_replace(m.text, {_TRIM}) END <> regexp_replace(o.text, {_TRIM}))
 """
@@ -342,7 +346,7 @@ def top_entities_per_type(spark, sf_dir):
     rf"""
     WITH a AS (SELECT DISTINCT doc_id, message_id, regexp_replace(lower(text), {_TRIM}) AS t FROM f_gold WHERE claim_type = 'IDENTITY_CLAIM' AND label IS DISTINCT FROM 'ham'),
     b AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), {_TRIM}) AS t FROM f_pred WHERE claim_type = 'IDENTITY_CLAIM')
-    SELECT a.message_id, substring(m.text, 1, 100) AS message, a.t AS text FROM a JOIN f_messages m USING (doc_id)
+    SELECT a.message_id, m.text AS message, a.t AS text FROM a JOIN f_messages m USING (doc_id)
     WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = a.doc_id AND b.t = a.t) ORDER BY a.message_id, a.t LIMIT 20
     """,
 )

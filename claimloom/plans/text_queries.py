@@ -49,7 +49,7 @@ def _any(marks: list[str]) -> str:
     """,
 )
 def strip_device_metadata(spark, sf_dir):
-    pages = v.spread(v.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = v.table(spark, sf_dir, "pages").select("page_id", "html")
     out = pin(pages, "page_id", text=tx.strip_device_metadata(F.col("html")))
     return out.where(F.col("text") != "")
 
@@ -71,7 +71,7 @@ def _source_text(spark, sf_dir):
     docs = v.documents(spark, sf_dir, "text").select(
         F.concat(F.lit("d"), "doc_id").alias("message_id"), "text"
     )
-    pages = v.spread(v.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select(
+    pages = v.table(spark, sf_dir, "pages").select("page_id", "html").select(
         F.concat(F.lit("p"), "page_id").alias("message_id"), F.col("html").alias("text")
     )
     return docs.unionByName(pages)
@@ -573,7 +573,7 @@ def cost_estimate(spark, sf_dir):
 @query(
     "ood_summary",
     """
-    WITH h AS (SELECT doc_id FROM f_messages ORDER BY doc_id LIMIT 100),
+    WITH h AS (SELECT doc_id FROM f_messages),
     n AS (SELECT doc_id, (SELECT count(*) FROM f_pred p WHERE p.doc_id = h.doc_id) AS k FROM h JOIN f_messages USING (doc_id) WHERE trim(text) <> ''),
     t AS (SELECT count(*)::DOUBLE AS messages, (count(*) FILTER (k > 0))::DOUBLE AS with_claims, sum(k)::DOUBLE AS claims FROM n)
     SELECT item, round(value, 6) AS value FROM (
@@ -583,6 +583,5 @@ def cost_estimate(spark, sf_dir):
     """,
 )
 def ood_summary(spark, sf_dir):
-    head = rk.first_inputs(v.messages(spark, sf_dir), "doc_id", 100)
-    out = rk.ood_summary(v.results_of(head))
+    out = rk.ood_summary(v.results_of(rk.first_inputs(v.messages(spark, sf_dir), "doc_id")))
     return out.withColumn("value", F.round("value", 6))

@@ -23,20 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition when a scan has fewer splits than there are cores.
-
-    Text work is CPU-bound and row-local; a small file would keep it in one
-    task.  Inputs with enough splits are left as they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, *keys)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", *columns)
 
 
 def messages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:

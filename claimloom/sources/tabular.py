@@ -56,8 +56,11 @@ def first_filled(df: DataFrame, names: list[str]) -> Column:
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Labelled messages; ids number the rows before incomplete ones drop."""
+def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Labelled messages; ids number the rows before incomplete ones drop.
+
+    Quoted line breaks need ``multiline``, which makes a file one split.
+    """
     raw = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).csv(path)
     rows = with_source_index(raw, "_row").select(
         "_row",
@@ -71,19 +74,27 @@ def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True) -> Data
     )
 
 
+def undecodable_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files (column ``file``) with a line that is not UTF-8, judged by its bytes."""
+    # the line reader hands on bytes as they are, valid or not
+    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return lines.select(F.col("_metadata.file_path").alias("file")).distinct()
+
+
 def read_text_csv(
     spark: SparkSession,
     path: str,
     encodings: list[str] = OOD_ENCODINGS,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """The text column of a CSV of unknown layout and encoding.
 
-    Encodings are tried in order; one fits when decoding left no replacement
-    character anywhere.
+    A file is read as UTF-8 when all its bytes are, whatever characters they stand
+    for, else in the last of ``encodings``, each file for itself.  Quoted line
+    breaks need ``multiline``, which makes a file one split.
     """
-    chosen = None
-    for encoding in encodings:
+
+    def read(encoding: str) -> DataFrame:
         raw = (
             spark.read.options(**CSV_OPTIONS)
             .option("multiLine", multiline)
@@ -93,10 +104,12 @@ def read_text_csv(
         name = next((c for c in OOD_TEXT_COLUMNS if c in raw.columns), None)
         if name is None:
             raise ValueError(f"no text column among {raw.columns}")
-        chosen = raw.select(F.col(name).alias("text"))
-        if encoding == encodings[-1] or chosen.where(F.contains("text", F.lit("�"))).isEmpty():
-            break
-    return chosen.where(F.length(strip(F.col("text"))) > 0)
+        return raw.select(F.col(name).alias("text"), F.col("_metadata.file_path").alias("file"))
+
+    bad = undecodable_files(spark, path)
+    utf8 = read("UTF-8").join(bad, "file", "left_anti")
+    other = read(encodings[-1]).join(bad, "file", "left_semi")
+    return utf8.unionAll(other).select("text").where(F.length(strip(F.col("text"))) > 0)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
