@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CELLS = 128
+SALTS = 64
 
 
 def exact_quantiles(
@@ -30,7 +31,12 @@ def exact_quantiles(
     )
 
     def by_key(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, keys) if keys else left.join(F.broadcast(right))
+        """Each group's row under every salt, so no group meets it in one task."""
+        if not keys:
+            return left.join(F.broadcast(right))
+        dealt = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = left.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+        return salted.join(dealt, [*keys, "_salt"]).drop("_salt")
 
     cell = F.size(F.filter("_ends", lambda end: end <= F.col("_v")))
     celled = by_key(counted, bounds).withColumn("_cell", cell).drop("_ends")

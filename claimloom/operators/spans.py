@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.arrays import let, pin
 from ..functions.claims import schema_type, slot_dimension, slot_names
@@ -86,15 +87,19 @@ def word_span_overlap(rows: DataFrame) -> DataFrame:
         word_intervals(F.col("w"), F.col("ws")),
         lambda words: let(F.col("spans"), lambda spans: word_hits(words, spans)),
     )
-    pairs = with_words(rows).select(
-        "message_id", "spans", F.explode(first_hits(hits)).alias("x")
-    )
-    return pairs.select(
-        "message_id",
-        F.col("x.l").alias("word_idx"),
-        F.col("x.r").alias("claim_id"),
-        F.get("spans", F.col("x.r"))["claim_type"].alias("claim_type"),
+    types = F.transform("spans", lambda s: s["claim_type"])
+    small = let(
+        types,
+        lambda kinds: F.transform(
+            first_hits(hits),
+            lambda x: F.struct(
+                x["l"].alias("word_idx"),
+                x["r"].alias("claim_id"),
+                F.get(kinds, x["r"]).alias("claim_type"),
+            ),
+        ),
     )
+    return with_words(rows).select("message_id", F.inline(small))
 
 
 def first_hits(hits: Column) -> Column:
@@ -137,8 +142,8 @@ def apply_review(spans: DataFrame, decisions: DataFrame, move_end: bool = True)
         "start",
         end.alias("end"),
     )
-    counts = edited.groupBy("message_id").agg(F.count("*").alias("result_count"))
-    return edited.join(counts, "message_id")
+    of_message = Window.partitionBy("message_id")
+    return edited.withColumn("result_count", F.count("*").over(of_message))
 
 
 def review_summary(spans: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -283,6 +283,17 @@ def lookup_message(spark, sf_dir):
     return lb.lookup_message(v.messages(spark, sf_dir), "7")
 
 
+@query(
+    "lookup_spans",
+    """SELECT message_id, claim_id, claim_type, s AS "start", e AS "end", text FROM f_gold
+    WHERE message_id = (SELECT max(message_id) FROM f_gold)""",
+)
+def lookup_spans(spark, sf_dir):
+    """The spans of the last message id that has any."""
+    spans = v.gold(spark, sf_dir).select("message_id", "claim_id", "claim_type", "start", "end", "text")
+    return lb.lookup_spans(spans, spans.agg(F.max("message_id")).first()[0])
+
+
 @query(
     "messages_with_claims",
     "SELECT message_id, label FROM f_messages m WHERE EXISTS (SELECT 1 FROM f_gold g WHERE g.doc_id = m.doc_id)",
@@ -491,6 +502,22 @@ def apply_review(spark, sf_dir):
     return sp.apply_review(v.gold(spark, sf_dir), v.review_decisions(spark, sf_dir))
 
 
+@query(
+    "apply_identity_review",
+    """
+    WITH k AS (
+      SELECT g.message_id, g.doc_id, g.claim_id, coalesce(r.new_type, g.claim_type) AS claim_type, coalesce(r.new_text, g.text) AS text, g.s AS "start", g.e AS "end"
+      FROM f_gold g LEFT JOIN f_reviews r ON r.doc_id = g.doc_id AND r.claim_id = g.claim_id
+      WHERE g.claim_type = 'IDENTITY_CLAIM' AND r.action IS DISTINCT FROM 'reject')
+    SELECT * EXCLUDE (doc_id), count(*) OVER (PARTITION BY doc_id) AS result_count FROM k
+    """,
+)
+def apply_identity_review(spark, sf_dir):
+    """Identity claims only; edits keep the bounds."""
+    spans = v.gold(spark, sf_dir).where(F.col("claim_type") == "IDENTITY_CLAIM")
+    return sp.apply_review(spans, v.review_decisions(spark, sf_dir), move_end=False)
+
+
 @query(
     "review_summary",
     """

@@ -40,22 +40,32 @@ PROMPT_VIEWS = {
     "f_quality_prompts": f"""
     SELECT message_id, {fill_sql(QUALITY_PROMPT, message='text')} AS prompt FROM f_messages WHERE label IS DISTINCT FROM 'ham'
     """,
-    "f_examples": """
-    SELECT g.message_id, g.claim_id, g.claim_type, '"' || g.claim_text || '" → canonical: "' || g.canonical_form || '", slots: {' ||
-           coalesce(string_agg('"' || s.slot || '":' || coalesce('"' || s.value || '"', 'null'), ',' ORDER BY s.pos), '') || '}' || chr(10) AS line,
-           row_number() OVER (PARTITION BY g.message_id, g.claim_type ORDER BY g.claim_id) AS k
+    "f_claim_vectors": """
+    SELECT p.message_id, p.claim_id, p.claim_type, p.doc_id * 1000000 + p.claim_id AS id, md5('fewshot:' || p.message_id) < '4' AS is_query, e.embedding::DOUBLE[] AS e
+    FROM f_pclaims_g p JOIN embeddings e ON e.vec_id = (p.doc_id * 31 + p.claim_id) % (SELECT count(*) FROM embeddings)
+    """,
+    "f_retrieved": """
+    SELECT message_id, claim_id, claim_type, example_id, row_number() OVER (PARTITION BY message_id, claim_id ORDER BY score DESC, example_id) AS k
+    FROM (SELECT q.message_id, q.claim_id, claim_type, c.id AS example_id, round(list_inner_product(q.e, c.e), 6) AS score
+          FROM f_claim_vectors q JOIN f_claim_vectors c USING (claim_type) WHERE q.is_query AND NOT c.is_query)
+    QUALIFY k <= 3
+    """,
+    "f_lines": """
+    SELECT g.doc_id * 1000000 + g.claim_id AS id, '"' || g.claim_text || '" → canonical: "' || g.canonical_form || '", slots: {' ||
+           coalesce(string_agg('"' || s.slot || '":' || coalesce('"' || s.value || '"', 'null'), ',' ORDER BY s.pos), '') || '}' || chr(10) AS line
     FROM f_pclaims_g g LEFT JOIN f_slots_g s ON s.message_id = g.message_id AND s.claim_id = g.claim_id
-    GROUP BY g.message_id, g.claim_id, g.claim_type, g.claim_text, g.canonical_form
+    GROUP BY g.doc_id, g.claim_id, g.claim_type, g.claim_text, g.canonical_form
     """,
     "f_shown": """
-    SELECT message_id, claim_type, chr(10) || chr(10) || 'Examples for ' || claim_type || ':' || chr(10) || string_agg(k || '. ' || line, '' ORDER BY k) AS shown
-    FROM f_examples WHERE k <= 3 GROUP BY 1, 2
+    SELECT message_id, claim_id, chr(10) || chr(10) || 'Examples for ' || claim_type || ':' || chr(10) || string_agg(k || '. ' || line, '' ORDER BY k) AS shown
+    FROM f_retrieved r JOIN f_lines l ON l.id = r.example_id GROUP BY message_id, claim_id, claim_type
     """,
     "f_fewshot_prompts": f"""
     SELECT message_id, {fill_sql(FEWSHOT_PROMPT, message='text', claims='claims', schemas='schemas', examples='examples')} AS prompt FROM (
       SELECT m.message_id, m.text, string_agg({_CLAIM}, chr(10) || chr(10) ORDER BY g.claim_id) AS claims,
-             string_agg(b.block, chr(10) || chr(10) ORDER BY g.claim_id) AS schemas, string_agg(x.shown, '' ORDER BY g.claim_id) AS examples
+             string_agg(b.block, chr(10) || chr(10) ORDER BY g.claim_id) AS schemas, coalesce(string_agg(x.shown, '' ORDER BY g.claim_id), '') AS examples
       FROM f_messages m JOIN f_gold g ON g.doc_id = m.doc_id JOIN d_blocks b ON b.claim_type = g.claim_type
-      JOIN f_shown x ON x.message_id = g.message_id AND x.claim_type = g.claim_type GROUP BY 1, 2)
+      LEFT JOIN f_shown x ON x.message_id = g.message_id AND x.claim_id = g.claim_id
+      WHERE md5('fewshot:' || m.message_id) < '4' GROUP BY 1, 2)
     """,
 }

@@ -13,6 +13,7 @@ from ..functions.ratios import safe_ratio as ratio_of
 from ..operators import entities as en
 from ..operators import ranking as rk
 from ..operators import spans as sp
+from ..operators import training as tr
 from ..session import scratch_dir
 from ..sources import tabular
 from . import views as v
@@ -170,33 +171,65 @@ def quality_prompt(spark, sf_dir):
 
 @query("fewshot_prompt", "SELECT message_id, prompt FROM f_fewshot_prompts")
 def fewshot_prompt(spark, sf_dir):
-    """Examples are the message's own parsed claims of the same type."""
-    parsed = v.parsed_gold(spark, sf_dir).groupBy("message_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("claim_id", "claim_type", "claim_text", "canonical_form", F.map_entries("slots").alias("slots")))
-        ).alias("known")
+    """Examples come from training messages only, the nearest parsed claims of the type.
+
+    The tables hold no claim vectors; a claim takes one of ``embeddings`` by its ids.
+    """
+    parsed = v.parsed_gold(spark, sf_dir).select(
+        "message_id",
+        "claim_type",
+        "claim_text",
+        "canonical_form",
+        F.map_entries("slots").alias("slots"),
+        F.col("claim_id").cast("int").alias("claim_id"),
+        (F.col("doc_id") * 1_000_000 + F.col("claim_id")).alias("id"),
+        (F.col("doc_id") * 31 + F.col("claim_id")).alias("pick"),
+        _in_test(F.col("message_id")).alias("is_query"),
+    )
+    vectors = v.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = F.broadcast(vectors.agg(F.count("*").alias("size")))
+    placed = parsed.select("id", "claim_type", "is_query", "pick").join(size)
+    placed = placed.withColumn("vec_id", F.col("pick") % F.col("size")).join(vectors, "vec_id")
+    found = tr.example_topk(placed.where(~F.col("is_query")), placed.where("is_query"), 3)
+    return retrieved_prompts(v.gold_rows(spark, sf_dir).where(_in_test(F.col("message_id"))), parsed, found)
+
+
+def _in_test(message_id):
+    return F.md5(F.concat(F.lit("fewshot:"), message_id)) < "4"
+
+
+def retrieved_prompts(rows, parsed, found):
+    """Prompts of messages (message_id, text, spans) with the retrieved examples of each span.
+
+    ``parsed``: id, message_id, claim_id and the parsed claim; ``found``: query_id,
+    example_id, rank.  Spans are in claim order.
+    """
+    known = parsed.select(F.col("id").alias("example_id"), "claim_text", "canonical_form", "slots")
+    shown = (
+        found.join(known, "example_id")
+        .groupBy(F.col("query_id").alias("id"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "claim_text", "canonical_form", "slots"))).alias("examples"))
+    )
+    claims = parsed.where("is_query").select("id", "message_id", "claim_id").join(shown, "id", "left")
+    packed = claims.groupBy("message_id").agg(
+        F.array_sort(F.collect_list(F.struct("claim_id", "examples"))).alias("known")
     )
-    rows = v.gold_rows(spark, sf_dir).join(parsed, "message_id")
+    none = F.expr("cast(array() as array<struct<rank:int,claim_text:string,canonical_form:string,slots:array<struct<key:string,value:string>>>>)")
 
     def with_examples(known):
+        def lines(i):
+            return F.transform(
+                F.coalesce(F.get(known, i)["examples"], none),
+                lambda k: F.struct(k["claim_text"], k["canonical_form"], F.map_from_entries(k["slots"]).alias("slots")),
+            )
+
         return F.transform(
             "spans",
-            lambda s: F.struct(
-                s["claim_type"],
-                s["text"],
-                s["start"],
-                s["end"],
-                F.transform(
-                    F.slice(F.filter(known, lambda k: k["claim_type"] == s["claim_type"]), 1, 3),
-                    lambda k: F.struct(
-                        k["claim_text"], k["canonical_form"], F.map_from_entries(k["slots"]).alias("slots")
-                    ),
-                ).alias("examples"),
-            ),
+            lambda s, i: F.struct(s["claim_type"], s["text"], s["start"], s["end"], lines(i).alias("examples")),
         )
 
     spans = let(F.col("known"), with_examples)
-    return rows.select(
+    return rows.join(packed, "message_id").select(
         "message_id", let(spans, lambda s: pr.fewshot_prompt(F.col("text"), s)).alias("prompt")
     )
 
@@ -238,16 +271,18 @@ _PARSED = """
 
 
 def _parsed(df):
-    rows = df.select(
-        "message_id", F.explode(rs.parse_claim_list(F.col("content"), F.col("spans"))).alias("p"), "spans"
-    )
-    return rows.select(
-        "message_id",
-        (F.array_position(F.transform("spans", lambda s: s["idx"]), F.col("p.span.idx")) - 1).cast("int").alias("claim_id"),
-        F.col("p.span.claim_type").alias("claim_type"),
-        F.col("p.canonical_form").alias("canonical_form"),
-        F.try_element_at("p.slots", F.lit("k")).alias("slot_k"),
+    """Spans are numbered in their array, so a parsed claim brings its own position."""
+    numbered = F.transform("spans", lambda s, i: s.withField("place", i))
+    small = F.transform(
+        rs.parse_claim_list(F.col("content"), numbered),
+        lambda p: F.struct(
+            p["span"]["place"].cast("int").alias("claim_id"),
+            p["span"]["claim_type"].alias("claim_type"),
+            p["canonical_form"].alias("canonical_form"),
+            F.try_element_at(p["slots"], F.lit("k")).alias("slot_k"),
+        ),
     )
+    return df.select("message_id", F.inline(small))
 
 
 @query("parse_llm_array", _PARSED)
