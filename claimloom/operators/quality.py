@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import let
 from ..functions.claims import type_dimension
+from ..functions.constants import CLAIM_TYPES
 from ..functions.matching import overlapping_pairs
 from ..functions.ratios import safe_ratio
 from ..functions.text import fingerprint, slice_text, strip, word_count
@@ -221,9 +222,8 @@ def near_dup_hash(messages: DataFrame, id_column: str, rows_per_key: int = 100_0
     )
 
 
-def structure_issues(docs: DataFrame) -> DataFrame:
-    """One row per structural issue.  An absent field and a JSON null are the
-    same under a fixed schema; both count as missing."""
+def _issues() -> Column:
+    """The structural issues of a document as an array of texts."""
 
     def entry_issues(results: Column) -> Column:
         def of(r: Column, i: Column) -> Column:
@@ -243,13 +243,18 @@ def structure_issues(docs: DataFrame) -> DataFrame:
         return F.array_compact(F.flatten(F.transform(results, of)))
 
     first = F.get("annotations", F.lit(0))
-    issues = (
+    return (
         F.when(F.col("annotations").isNull(), F.array(F.lit("missing annotations field")))
         .when(F.size("annotations") == 0, F.array().cast("array<string>"))
         .when(first["result"].isNull(), F.array(F.lit("missing result field")))
         .otherwise(entry_issues(first["result"]))
     )
-    return docs.select(F.col("id").alias("message_id"), F.explode(issues).alias("issue"))
+
+
+def structure_issues(docs: DataFrame) -> DataFrame:
+    """One row per structural issue.  An absent field and a JSON null are the
+    same under a fixed schema; both count as missing."""
+    return docs.select(F.col("id").alias("message_id"), F.explode(_issues()).alias("issue"))
 
 
 def integrity_vs_original(docs: DataFrame, original: DataFrame) -> DataFrame:
@@ -297,35 +302,52 @@ def cross_check(left: DataFrame, right: DataFrame, order: str | None = None) ->
     )
 
 
+def _digested(docs: DataFrame, name: str) -> DataFrame:
+    """What the checks need of a document, without its text; staged once."""
+    current = strip(F.col("data.text"))
+    augmented = F.coalesce(F.col("meta.is_augmented"), F.lit(False))
+    compared = F.when(augmented, strip(F.col("meta.original_text"))).otherwise(current)
+    slim = docs.select(
+        "id",
+        F.when(current != "", F.md5(current)).alias("text"),
+        F.md5(compared).alias("compared"),
+        (F.size(_issues()) > 0).alias("broken"),
+    )
+    return stage(slim, name)
+
+
 def integrity_summary(
     claim_docs: DataFrame, entity_docs: DataFrame, original: DataFrame
 ) -> DataFrame:
-    """Which of the six checks fail, and how many do."""
+    """Which of the six checks fail, and how many do.
 
-    def any_row(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy().agg((F.count("*") > 0).alias("failed")).select(
-            F.lit(name).alias("check"), "failed"
-        )
+    Documents are read once for all row-local checks, and only ids and digests are
+    grouped and joined; the cross check compares one text per id.
+    """
+    expected = one_text_per_id(original).select("id", F.md5("text").alias("expected"))
 
     def flat(docs: DataFrame) -> DataFrame:
         return docs.select("id", F.col("data.text").alias("text"))
 
-    lost = integrity_vs_original(claim_docs, original).unionByName(
-        integrity_vs_original(entity_docs, original)
-    )
-    checks = [
-        any_row(dup_ids_texts(claim_docs), "claim_duplicates"),
-        any_row(dup_ids_texts(entity_docs), "entity_duplicates"),
-        any_row(structure_issues(claim_docs), "claim_structure"),
-        any_row(structure_issues(entity_docs), "entity_structure"),
-        any_row(lost, "integrity"),
-        cross_check(flat(claim_docs), flat(entity_docs)).select(
-            F.lit("cross_check").alias("check"), (F.col("mismatches") > 0).alias("failed")
-        ),
-    ]
-    table = checks[0]
-    for check in checks[1:]:
-        table = table.unionByName(check)
+    def entry(name: str, failed: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), F.coalesce(failed, F.lit(False)).alias("failed"))
+
+    def of(docs: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+        slim = _digested(docs, kind)
+        values = slim.select(F.explode(F.array(F.struct(F.lit("id").alias("k"), F.nullif("id", F.lit("")).alias("v")), F.struct(F.lit("text").alias("k"), F.col("text").alias("v")))).alias("x"))
+        counted = values.where(F.col("x.v").isNotNull()).groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+        again = counted.agg(entry(f"{kind}_duplicates", F.max("n") > 1).alias("e"))
+        local = slim.agg(entry(f"{kind}_structure", F.bool_or("broken")).alias("e"))
+        lost = slim.join(expected, "id").agg(F.bool_or(F.col("compared") != F.col("expected")).alias("lost"))
+        return again.unionAll(local).select("e.*"), lost
+
+    claims, lost_claims = of(claim_docs, "claim")
+    entities, lost_entities = of(entity_docs, "entity")
+    lost = lost_claims.unionAll(lost_entities).agg(entry("integrity", F.bool_or("lost")).alias("e"))
+    crossed = cross_check(flat(claim_docs), flat(entity_docs)).select(
+        entry("cross_check", F.col("mismatches") > 0).alias("e")
+    )
+    table = claims.unionAll(entities).unionAll(lost.select("e.*")).unionAll(crossed.select("e.*"))
     total = table.agg(F.count_if("failed").alias("total_issues"))
     return table.join(F.broadcast(total))
 
@@ -380,17 +402,29 @@ def augmentation_stats(docs: DataFrame) -> DataFrame:
 
 
 def augment_verdict(docs: DataFrame) -> DataFrame:
-    """One row of counts and the list of failed thresholds."""
-    n = F.length("data.text")
-    prints = docs.groupBy(fingerprint(F.col("data.text")).alias("h")).agg(F.count("*").alias("n"))
-    dups = prints.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
-    totals = docs.agg(
-        F.count("*").alias("total"),
-        F.count_if(n < 50).alias("too_short"),
-        F.count_if(n > 160).alias("too_long"),
-    )
-    missing = expected_minus_seen(docs).agg(F.count("*").alias("missing_types"))
-    row = totals.join(F.broadcast(dups)).join(F.broadcast(missing))
+    """One row of counts and the list of failed thresholds.
+
+    One pass: everything is counted per fingerprint, then over the fingerprints.
+    """
+    length = F.length("data.text")
+    types = [
+        F.bool_or(F.coalesce(F.array_contains("meta.claim_types", t), F.lit(False))).alias(t)
+        for t in CLAIM_TYPES
+    ]
+    prints = docs.groupBy(fingerprint(F.col("data.text")).alias("h")).agg(
+        F.count("*").alias("n"),
+        F.count_if(length < 50).alias("short"),
+        F.count_if(length > 160).alias("long"),
+        *types,
+    )
+    unseen = [F.when(F.coalesce(F.bool_or(t), F.lit(False)), 0).otherwise(1) for t in CLAIM_TYPES]
+    row = prints.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum("short"), F.lit(0)).alias("too_short"),
+        F.coalesce(F.sum("long"), F.lit(0)).alias("too_long"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
+        sum(unseen[1:], unseen[0]).cast("long").alias("missing_types"),
+    )
     issues = F.array_compact(
         F.array(
             F.when(F.col("duplicates") > 0, "duplicates"),
@@ -550,8 +584,3 @@ def top_entities_per_type(rows: DataFrame, k: int = 10) -> DataFrame:
     )
     order = Window.partitionBy("claim_type").orderBy(F.col("n").desc(), "text")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def topk_issues(issues: DataFrame, k: int, *order: str) -> DataFrame:
-    return issues.orderBy(*order).limit(k)
-

@@ -209,7 +209,8 @@ def proportional_sample(rows: DataFrame, size: int = 150, seed: int = 42) -> Dat
     )
 
     def widen(cells: DataFrame) -> DataFrame:
-        return cells.withColumn("_all", F.sum("_in").over(Window.partitionBy()))
+        total = cells.agg(F.sum("_in").alias("_all"))
+        return cells.join(F.broadcast(total))
 
     def need(n: Column) -> Column:
         share = n.cast("double") / F.col("_all")

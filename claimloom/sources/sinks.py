@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import batch_request, claim_prompt
+from ..session import stage
 
 
 def sink_parsed_claims(claims: DataFrame, path: str, flag: str | None = None) -> None:
@@ -54,7 +55,7 @@ def batch_requests(rows: DataFrame, prompt: Column | None = None) -> DataFrame:
 
 def sink_batch_jsonl(rows: DataFrame, path: str) -> None:
     """Request lines as text, and the span table keyed by custom_id beside it."""
-    requests = batch_requests(rows)
+    requests = stage(batch_requests(rows), "requests")
     requests.select("request").write.mode("overwrite").text(f"{path}/requests")
     requests.drop("request").write.mode("overwrite").parquet(f"{path}/metadata")
 
