@@ -48,7 +48,7 @@ def test_queues_and_issues(docs):
 def test_raw_csv_index(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Message,type\n" one, two ",HAM\n"line\nbreak",\nthree,Spam\n')
     (tmp_path / "b.csv").write_text("Message,type\n,ham\nfour,smishing\n")
-    got = [tuple(r) for r in tabular.read_raw_csv(spark, str(tmp_path)).orderBy("message_id").collect()]
+    got = [tuple(r) for r in tabular.read_raw_csv(spark, str(tmp_path), multiline=True).orderBy("message_id").collect()]
     assert got == [("msg_000000", "one, two", "ham"), ("msg_000002", "three", "spam"), ("msg_000004", "four", "smishing")]
 
 
