@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +15,25 @@ from ..session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "arrow_batch", "bit_filter", "code_points", "nonnull_text", "stage", "table"]
+__all__ = ["Query", "arrow_batch", "bit_filter", "code_points", "nonnull_text", "reach", "stage", "table"]
 
 FILTER_BITS = (1 << 16, 1 << 27)
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
+def reach(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of the Python workers.
+
+    Enough where workers see the driver's folders; on other clusters ship the package
+    with ``addPyFile`` or install it.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, jaccard, langid, licenses, linededup, packing, substrings, surrogates, winnow
-from .common import Query, table
+from .common import Query, reach, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(key: str, sql: str | None = None):
     def add(fn: Query) -> Query:
-        QUERIES[key] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reach(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[key] = run
         if sql is not None:
             ORACLES[key] = sql
         return fn

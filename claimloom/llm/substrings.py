@@ -12,15 +12,15 @@
    concatenated, and their suffix array is built by linear grouping
    (``suffix.suffix_array``).  A repeated string spans at least ``SHARED`` whole blocks,
    so its starts lie among suffixes with that common prefix; these few are told
-   apart by their bytes, exactly.
-4. An anchor with very many different pieces (``HOT_PIECES``: a passage in ever
+   apart by 128-bit hashes of their strings.
+4. An anchor with very many different pieces (``HOT_PIECES``, 12 MB: a passage in ever
    different surroundings) is not gathered in one task: the strings of its pieces are
    hashed one by one and counted across the cluster.
 5. Repeated starts, as intervals, meet their document again; covered bytes are merged
    and removed.
 
 Only hashes, the differing pieces and, once, the texts are shuffled.  Hash equality
-is on two hashes of 64 bits over the whole piece or string.
+is on 128 bits over the whole piece or string.
 
 Defined cases: a null text is empty; texts under 400 bytes lose nothing; strings are
 judged on the input, overlaps inside one document count; rows equal in doc_id and text
@@ -45,7 +45,7 @@ LENGTH = 400
 K = 64
 BLOCK = 32
 SHARED = (LENGTH - BLOCK + 1) // BLOCK
-HOT_PIECES = 2048
+HOT_PIECES = 1 << 14
 BATCH_SYMBOLS = 1 << 17
 SLICE = 1 << 19
 SEEN = 1 << 19
@@ -180,7 +180,7 @@ def _mark(group, marks, suffixes) -> None:
     for j, at in suffixes:
         data, n, _ = group[j]
         for x in range(max(0, at - BLOCK + 1), min(at, n - 1) + 1):
-            seen.setdefault(data[x : x + LENGTH], []).append((j, x))
+            seen.setdefault(xxhash.xxh3_128_digest(data[x : x + LENGTH]), []).append((j, x))
     for places in seen.values():
         if len(places) > 1:
             for j, x in places:

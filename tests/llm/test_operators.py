@@ -255,7 +255,7 @@ def test_surrogates_stay_distinct_when_the_format_is_nearly_full(spark):
 # --- substring dedup -------------------------------------------------------
 
 
-@pytest.mark.parametrize("crowded", [2048, 2])
+@pytest.mark.parametrize("crowded", [1 << 14, 2])
 def test_substring_dedup(spark, corpus, monkeypatch, crowded):
     monkeypatch.setattr(substrings, "HOT_PIECES", crowded)
     rng = random.Random(9)
