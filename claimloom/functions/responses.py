@@ -62,6 +62,25 @@ def parse_claim_list(response: Column, spans: Column) -> Column:
     return let(spans, build)
 
 
+def parse_reannotation(response: Column) -> Column:
+    """array of (text, claim_type) from a reply {"claims": [{"text", "label"}, ...]}.
+
+    A reply that is no JSON object, or has no such list, gives an empty array;
+    an absent text is empty.
+    """
+    schema = "struct<claims:array<struct<text:string,label:string>>>"
+
+    def claims(clean: Column) -> Column:
+        usable = F.startswith(clean, F.lit("{")) & F.try_parse_json(clean).isNotNull()
+        return F.when(usable, F.from_json(clean, schema)["claims"])
+
+    empty = F.expr("cast(array() as array<struct<text:string,label:string>>)")
+    return F.transform(
+        F.coalesce(let(strip_code_fence(response), claims), empty),
+        lambda c: F.struct(F.coalesce(c["text"], F.lit("")).alias("text"), c["label"].alias("claim_type")),
+    )
+
+
 def _last_wins(keys: Column, values: Column) -> Column:
     """A map from parallel arrays; of equal keys the last one counts."""
     return let(

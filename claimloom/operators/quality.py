@@ -289,6 +289,13 @@ def one_text_per_id(df: DataFrame, order: str | None = None) -> DataFrame:
     return df.groupBy("id").agg(pick.alias("text"))
 
 
+def cross_mismatches(left: DataFrame, right: DataFrame, order: str | None = None) -> DataFrame:
+    """Ids on both sides whose texts differ, with both texts."""
+    a = one_text_per_id(left, order).withColumnRenamed("text", "left_text")
+    b = one_text_per_id(right, order).withColumnRenamed("text", "right_text")
+    return a.join(b, "id").where(F.col("left_text") != F.col("right_text"))
+
+
 def cross_check(left: DataFrame, right: DataFrame, order: str | None = None) -> DataFrame:
     """Ids common to both sides, on one side only, and text mismatches."""
     a = one_text_per_id(left, order).select("id", F.col("text").alias("a"), F.lit(True).alias("in_a"))

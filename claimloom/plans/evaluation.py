@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import responses as rs
 from ..operators import evaluate as ev
 from . import views as v
 from .registry import query
@@ -308,6 +309,33 @@ def annotator_agreement(spark, sf_dir):
     )
 
 
+@query(
+    "reannotation_agreement",
+    _AGREE.replace("AS c FROM f_pred)", "AS c FROM f_pred WHERE doc_id % 7 <> 3)")
+    + "SELECT message_id, n_agree, n_only_a, n_only_b, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM agree",
+)
+def reannotation_agreement(spark, sf_dir):
+    """Annotator B is a model: its claims are parsed from replies, some fenced, some broken."""
+    rows = v.results(spark, sf_dir)
+    claims = F.transform("pred", lambda p: F.struct(p["text"].alias("text"), p["claim_type"].alias("label")))
+    body = F.to_json(F.struct(claims.alias("claims")))
+    number = F.col("message_id").cast("long") % 7
+    reply = (
+        F.when(number == 3, F.concat(F.lit("Sorry: "), body))
+        .when(number == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .otherwise(body)
+    )
+    second = rows.withColumn("reply", reply).drop("pred")
+    a = ev.annotator_agreement(second.withColumn("pred", rs.parse_reannotation(F.col("reply"))))
+    return a.select(
+        "message_id",
+        F.size("agreement").alias("n_agree"),
+        F.size("only_a").alias("n_only_a"),
+        F.size("only_b").alias("n_only_b"),
+        *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+    )
+
+
 @query(
     "agreement_report",
     _AGREE

@@ -182,6 +182,20 @@ def cross_check(spark, sf_dir):
     return q.cross_check(m, _original(spark, sf_dir))
 
 
+@query(
+    "cross_check_mismatches",
+    rf"""
+    WITH {_ORIGINAL}
+    SELECT a.message_id AS id, regexp_replace(a.text, {_TRIM}) AS left_text, regexp_replace(o.text, {_TRIM}) AS right_text
+    FROM f_messages a JOIN o ON a.message_id = o.message_id
+    WHERE regexp_replace(a.text, {_TRIM}) <> regexp_replace(o.text, {_TRIM})
+    """,
+)
+def cross_check_mismatches(spark, sf_dir):
+    m = v.messages(spark, sf_dir).select(F.col("message_id").alias("id"), "text")
+    return q.cross_mismatches(m, _original(spark, sf_dir))
+
+
 @query(
     "integrity_summary",
     rf"""
