@@ -110,7 +110,8 @@ def augment_substitute(examples: DataFrame, factor: int = 2, seed: int = 42) ->
 
 # ---------------------------------------------------------------- retrieval
 
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 16384
+PRODUCT_ROWS = 512
 SCORE_DIGITS = 6
 
 
@@ -119,8 +120,10 @@ def example_topk(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFra
 
     Exact.  Each type's queries and examples are dealt into blocks of about
     BLOCK_ROWS rows, as many as its size asks for; every pair of blocks of a
-    type is one matrix product in a task of its own and hands on only its k
-    best per query.  So neither a common type nor the number of pairs ever
+    type is multiplied in a task of its own, PRODUCT_ROWS queries at a time, and
+    hands on only its k best per query.  A row is copied once for every block of the
+    other side, so Q queries and E examples move about 2 * Q * E / BLOCK_ROWS
+    rows.  Neither a common type nor the number of pairs ever
     meets in one place.  Scores are rounded before ranking and equal ones go
     to the smaller example id.  Inputs: id, claim_type, embedding.
     """
@@ -147,16 +150,20 @@ def example_topk(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFra
         if q.empty or e.empty:
             return pd.DataFrame({"query_id": [], "example_id": [], "score": []})
         e = e.sort_values("id")
-        scores = np.round(
-            np.stack(q["embedding"]).astype(np.float64) @ np.stack(e["embedding"]).astype(np.float64).T,
-            SCORE_DIGITS,
-        )
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        wanted = np.stack(q["embedding"]).astype(np.float64)
+        known = np.stack(e["embedding"]).astype(np.float64).T
+        tops, values = [], []
+        for at in range(0, len(wanted), PRODUCT_ROWS):
+            scores = np.round(wanted[at : at + PRODUCT_ROWS] @ known, SCORE_DIGITS)
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            tops.append(top)
+            values.append(np.take_along_axis(scores, top, axis=1))
+        top = np.concatenate(tops)
         return pd.DataFrame(
             {
                 "query_id": np.repeat(q["id"].to_numpy(), top.shape[1]),
                 "example_id": e["id"].to_numpy()[top].ravel(),
-                "score": np.take_along_axis(scores, top, axis=1).ravel(),
+                "score": np.concatenate(values).ravel(),
             }
         )
 
