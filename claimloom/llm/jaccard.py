@@ -15,11 +15,15 @@ Two documents link when their shingle sets have a Jaccard measure of at least
    size are compared first.  Distances to pivots are answers that others reuse: the
    distance (size of the symmetric difference) is a metric, so a set close to its
    pivot inherits the pivot's rejections: |x - y| >= |pivot - y| - |pivot - x|.
+   Of lists with the same members only the first in the order is kept: a pair meets
+   first in it or in an earlier one.
 4. Components of the links so far.  A list inside one component needs no more
    work.  In the others, members of different components are compared by blocks: a
    list is sorted by size, a block of partners is skipped by size or by the positions
    of the shared shingle (what follows it bounds the overlap), and the rest by
-   the derived bound.  What is left is compared like the pivots' pairs.
+   the derived bound.  What is left is compared like the pivots' pairs: first a few
+   members of each larger component with the others, which joins most of
+   what belongs together, then, with the components that gives, all that are still apart.
 5. A comparison first bounds the distance by parity sketches (each differing shingle
    flips one bit, so differing bits never exceed the distance), then computes it from
    the sets of the pairs that remain.
@@ -45,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import arrow_batch, bit_filter, stage
 from .graph import components
 from .shingles import mix, sets
 
@@ -55,8 +59,8 @@ LEAST_FREQUENT = 20
 COUNT_BLOCK = 1 << 22
 SEEN = 1 << 19
 BLOCK = 512
+SCOUTS = 128
 SKETCH_BITS = (64, 1 << 20)
-FILTER_BITS = (1 << 16, 1 << 27)
 
 PASS = "doc_id long, sig long, n long, sketch binary, times long"
 POSTING = "token long, sig long, n int, at int"
@@ -97,15 +101,6 @@ def apart_at_least(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _batch(schema_names: str, *columns) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    fields = [f.split() for f in schema_names.split(", ")]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)],
-        names=[f for f, _ in fields],
-    )
-
-
 def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
     return (t.as_py() for t in batch.column(batch.schema.names.index("text")))
 
@@ -118,11 +113,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         token, times = token[times > 1], times[times > 1]
         none = [None] * len(token)
-        return _batch(PASS, none, token.view(np.int64), none, none, times)
+        return arrow_batch(PASS, none, token.view(np.int64), none, none, times)
 
     for batch in batches:
         made = list(sets(_texts(batch)))
-        yield _batch(
+        yield arrow_batch(
             PASS,
             batch.column(0).to_pylist(),
             [signature(s) if len(s) else None for s in made],
@@ -165,7 +160,7 @@ def _postings(frequent):
                 out[2].append(np.full(p, len(s), dtype=np.int32))
                 out[3].append(np.arange(p, dtype=np.int32))
             if out[0]:
-                yield _batch(POSTING, *map(np.concatenate, out))
+                yield arrow_batch(POSTING, *map(np.concatenate, out))
 
     return run
 
@@ -201,25 +196,12 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             started[starts] = True
             heads = (token[starts], pivot[starts], pivot_n[starts], pivot[starts], pivot_n[starts], pivot_at[starts])
             body = (token[rows], pivot[rows], pivot_n[rows], sig[rows], n[rows], at[rows])
-            yield _batch(LISTED, *(np.concatenate(x) for x in zip(heads, body, strict=True)))
+            yield arrow_batch(LISTED, *(np.concatenate(x) for x in zip(heads, body, strict=True)))
         was = last is not None and last[2] and token[-1] == last[0][0]
         begun = was or bool((member & (token == token[-1])).any())
         last = ((token[-1], sig[-1], n[-1], at[-1]), (pivot[-1], pivot_n[-1], pivot_at[-1]), begun)
 
 
-def _bit_filter(values: DataFrame, column: str, expected: int) -> tuple[np.ndarray, int]:
-    """A bit map of the values of bounded size: no false negatives."""
-    bits = min(max(FILTER_BITS[0], 1 << (16 * max(expected, 1)).bit_length()), FILTER_BITS[1])
-    cell = F.col(column).bitwiseAND(F.lit(bits - 1))
-    words = values.select(cell.alias("cell")).selectExpr(
-        "shiftright(cell, 5) AS w", "shiftleft(1L, cast(cell % 32 AS int)) AS m"
-    )
-    made = np.zeros(bits // 32, dtype=np.uint32)
-    for w, m in words.groupBy("w").agg(F.bit_or("m").alias("m")).toLocalIterator():
-        made[w] = m
-    return made, bits
-
-
 def _wanted_sets(wanted):
     """Signature and set of the texts the bit filter lets through."""
 
@@ -239,7 +221,7 @@ def _wanted_sets(wanted):
                     seen.add(sig)
                 out[0].append(sig)
                 out[1].append(s.tobytes())
-            yield _batch("sig long, members binary", *out)
+            yield arrow_batch("sig long, members binary", *out)
 
     return run
 
@@ -282,7 +264,7 @@ def _compare(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
     close = bounds.where(F.col("least") <= limit).select("a", "b", "na", "nb")
     needed = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     needed = stage(needed, "needed")
-    wanted = spark.sparkContext.broadcast(_bit_filter(needed, "sig", needed.count()))
+    wanted = spark.sparkContext.broadcast(bit_filter(needed, "sig", needed.count()))
     members = docs.mapInArrow(_wanted_sets(wanted), "sig long, members binary")
     members = stage(members.join(needed, "sig", "left_semi"), "members").dropDuplicates(["sig"])
     x = members.select(F.col("sig").alias("a"), F.col("members").alias("x"))
@@ -303,11 +285,25 @@ def _links(compared: DataFrame) -> DataFrame:
     return compared.where(F.col("exact") & (F.col("least") <= limit)).select("a", "b")
 
 
-def cross_pairs(group, n, at, low, high, sig) -> list[tuple[np.ndarray, np.ndarray]]:
+def scouts(group: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """Marks up to SCOUTS members of each component with several members in the list.
+
+    They are the smallest by a hash of the signature, so mostly the same in every list.
+    """
+    order = np.lexsort((mix(sig.view(np.uint64)), group))
+    _, first, count = np.unique(group[order], return_index=True, return_counts=True)
+    place = np.arange(len(order)) - np.repeat(first, count)
+    marked = np.zeros(len(group), dtype=bool)
+    marked[order] = (place < SCOUTS) & (np.repeat(count, count) > 1)
+    return marked
+
+
+def cross_pairs(group, n, at, low, high, sig, sent=None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Undecided pairs of one list: row numbers of members of different components.
 
     Rows are sorted by size.  Blocks of partners are skipped by size; single ones by
-    the positions of the shared shingle and by distances to the pivot.
+    the positions of the shared shingle and by distances to the pivot.  With ``sent``,
+    one of the two has to be marked in it.
     """
     found = []
     for start in range(0, len(n), BLOCK):
@@ -326,6 +322,8 @@ def cross_pairs(group, n, at, low, high, sig) -> list[tuple[np.ndarray, np.ndarr
                 & (np.maximum(low[a] - high[b], low[b] - high[a]) <= limit)
                 & (sig[a] != sig[b])
             )
+            if sent is not None:
+                keep &= sent[a] | sent[b]
             x, y = np.nonzero(keep)
             if len(x):
                 found.append((i[x], j[y]))
@@ -334,7 +332,14 @@ def cross_pairs(group, n, at, low, high, sig) -> list[tuple[np.ndarray, np.ndarr
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Undecided pairs of every list; rows come sorted by token and size."""
+    return _undecided(batches, scouting=False)
+
+
+def _scouting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _undecided(batches, scouting=True)
+
 
+def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa.RecordBatch]:
     def lists() -> Iterator[list[np.ndarray]]:
         kept = None
         for batch in batches:
@@ -354,11 +359,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         rows = np.unique(np.concatenate(out), axis=0)
-        return _batch(PAIR, rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32))
+        return arrow_batch(PAIR, rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32))
 
     for _token, sig, n, at, group, low, high in lists():
         n64 = n.astype(np.int64)
-        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig):
+        sent = scouts(group, sig) if scouting else None
+        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig, sent):
             first = sig[i] < sig[j]
             a, b = np.where(first, sig[i], sig[j]), np.where(first, sig[j], sig[i])
             na, nb = np.where(first, n64[i], n64[j]), np.where(first, n64[j], n64[i])
@@ -390,6 +396,18 @@ def _frequent(spark: SparkSession, first: DataFrame):
     return spark.sparkContext.broadcast(np.sort(values))
 
 
+def _distinct_lists(lists: DataFrame) -> DataFrame:
+    """Of lists with the same members, the one whose token comes first in the order."""
+    own = F.when(F.col("sig") == F.col("pivot"), F.col("at"))
+    members = lists.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("sig")).alias("x"),
+        F.sum(F.pmod(F.xxhash64(F.lit(7), "sig"), F.lit(1 << 36))).alias("y"),
+        F.min(own).alias("place"),
+    )
+    kept = members.groupBy("x", "y").agg(F.min_by("token", "place").alias("token"))
+    return lists.join(kept.select("token"), "token", "left_semi")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, sig, n) of every row, and (sig, group) of the sets with a partner."""
     spark = docs.sparkSession
@@ -397,7 +415,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = stage(rows.mapInArrow(_first_pass, PASS), "sets")
     members = first.where(F.col("n").isNotNull())
     postings = rows.mapInArrow(_postings(_frequent(spark, first)), POSTING)
-    lists = stage(_by_token(postings, "sig").mapInArrow(_lists, LISTED), "lists")
+    lists = stage(_by_token(postings, "sig").mapInArrow(_lists, LISTED), "every_list")
+    lists = stage(_distinct_lists(lists), "lists")
     indexed = lists.select("sig").distinct()
     sketches = members.select("sig", "sketch").join(indexed, "sig", "left_semi").dropDuplicates(["sig"])
     sketches = stage(sketches, "sketches")
@@ -407,14 +426,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     compared = _compare(rows, sketches, _distinct(to_pivot))
     groups = stage(components(_links(compared)), "groups")
-    cross = _distinct(_open_pairs(lists, compared, groups)).join(
-        compared.select("a", "b"), ["a", "b"], "left_anti"
-    )
-    more = _links(_compare(rows, sketches, stage(cross, "cross")))
-    return members, _merged(groups, more)
+    known = compared.select("a", "b")
+    for step in (_scouting, _cross):
+        pairs = _distinct(_open_pairs(lists, compared, groups, step)).join(known, ["a", "b"], "left_anti")
+        more = _compare(rows, sketches, stage(pairs, "cross"))
+        known = known.unionAll(more.select("a", "b"))
+        groups = stage(_merged(groups, _links(more)), "groups")
+    return members, groups.withColumnRenamed("node", "sig")
 
 
-def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame) -> DataFrame:
+def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, step) -> DataFrame:
     """Undecided pairs of the lists that hold more than one component."""
     near = compared.select(
         F.col("a").alias("pivot"),
@@ -440,11 +461,11 @@ def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame) -> Dat
     rows = stage(rows, "grouped")
     mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
     still = rows.join(mixed.select("token"), "token", "left_semi")
-    return _by_token(still, "n", "sig").mapInArrow(_cross, PAIR)
+    return _by_token(still, "n", "sig").mapInArrow(step, PAIR)
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """(sig, group) after further links between components and single sets."""
+    """(node, group) after further links between components and single sets."""
     named = groups.select("node", "group")
     x = named.select(F.col("node").alias("a"), F.col("group").alias("ga"))
     y = named.select(F.col("node").alias("b"), F.col("group").alias("gb"))
@@ -453,10 +474,10 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     )
     upper = stage(components(between.distinct()), "upper").select(F.col("node").alias("g"), F.col("group").alias("top"))
     lifted = named.join(upper, named["group"] == upper["g"], "left").select(
-        F.col("node").alias("sig"), F.coalesce("top", "group").alias("group")
+        "node", F.coalesce("top", "group").alias("group")
     )
     alone = upper.join(named.select(F.col("group").alias("g")).distinct(), "g", "left_anti")
-    return lifted.unionAll(alone.select(F.col("g").alias("sig"), F.col("top").alias("group")))
+    return lifted.unionAll(alone.select(F.col("g").alias("node"), F.col("top").alias("group")))
 
 
 def join(docs: DataFrame) -> DataFrame:
