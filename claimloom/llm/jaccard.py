@@ -66,6 +66,8 @@ PASS = "doc_id long, sig long, n long, sketch binary, times long"
 POSTING = "token long, sig long, n int, at int"
 LISTED = "token long, pivot long, pivot_n int, sig long, n int, at int"
 PAIR = "a long, b long, na int, nb int"
+#: The largest distance of linked sets of these sizes.
+_LIMIT = f"{100 - PERCENT} * (cast(na AS long) + nb) div {100 + PERCENT}"
 
 
 def prefix(n: np.ndarray | int):
@@ -73,11 +75,6 @@ def prefix(n: np.ndarray | int):
     return n - -(-PERCENT * n // 100) + 1
 
 
-def most_apart(na, nb):
-    """The largest distance of linked sets of these sizes."""
-    return (100 - PERCENT) * (na + nb) // (100 + PERCENT)
-
-
 def signature(x: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = mix(x).sum() ^ mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum() * np.uint64(0x9E3779B97F4A7C15)
@@ -260,7 +257,7 @@ def _compare(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
     y = sketches.select(F.col("sig").alias("b"), F.col("sketch").alias("y"))
     drawn = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y")
     bounds = stage(drawn.mapInArrow(_bounded, PAIR + ", least long"), "bounds")
-    limit = F.expr(f"{100 - PERCENT} * (na + nb) div {100 + PERCENT}")
+    limit = F.expr(_LIMIT)
     close = bounds.where(F.col("least") <= limit).select("a", "b", "na", "nb")
     needed = close.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     needed = stage(needed, "needed")
@@ -281,7 +278,7 @@ def _compare(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def _links(compared: DataFrame) -> DataFrame:
-    limit = F.expr(f"{100 - PERCENT} * (na + nb) div {100 + PERCENT}")
+    limit = F.expr(_LIMIT)
     return compared.where(F.col("exact") & (F.col("least") <= limit)).select("a", "b")
 
 
@@ -420,7 +417,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     indexed = lists.select("sig").distinct()
     sketches = members.select("sig", "sketch").join(indexed, "sig", "left_semi").dropDuplicates(["sig"])
     sketches = stage(sketches, "sketches")
-    fits = (F.least("n", "pivot_n") * 100) >= (F.greatest("n", "pivot_n") * PERCENT)
+    fits = F.least("n", "pivot_n").cast("long") * 100 >= F.greatest("n", "pivot_n").cast("long") * PERCENT
     to_pivot = lists.where((F.col("sig") != F.col("pivot")) & fits).select(
         F.col("pivot").alias("a"), F.col("sig").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb")
     )
