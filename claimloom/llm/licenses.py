@@ -80,10 +80,10 @@ def bands_needed(shingles: list[int], window: int, share: float, miss: float) ->
     return 1 if least >= 1 else math.ceil(math.log(miss) / math.log(1 - least))
 
 
-def _minima(shingles: Column, bands: int) -> Column:
+def _minima(shingles: Column, bands: Column) -> Column:
     """(band, minimum) pairs."""
     return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
+        F.sequence(F.lit(0), bands - 1),
         lambda j: F.struct(
             j.alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(j, s))).alias("least")
         ),
@@ -115,36 +115,46 @@ def scan(
     classes: dict[int, list] = {}
     for license_, shingles in known:
         classes.setdefault(size_class(len(shingles) + K - 1), []).append((license_, shingles))
-    parts = [_of_class(rows, c, group, share, miss) for c, group in sorted(classes.items())]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    best = found.groupBy("doc_id", "license").agg(
+    bands = {c: bands_needed([len(s) for _, s in group], span(c), share, miss) for c, group in classes.items()}
+    near = F.concat(*[_windows(c, [v for _, s in group for v in s]) for c, group in sorted(classes.items())])
+    signed = rows.select("doc_id", F.inline(near)).select(
+        "doc_id", "size", "first_word", "part", F.inline(_minima(F.col("part"), _of_size(bands)))
+    )
+    held = [(c, license_, shingles) for c, group in classes.items() for license_, shingles in group]
+    table = spark.createDataFrame(held, "size int, license string, wanted array<long>")
+    table = table.select("size", "license", "wanted", F.inline(_minima(F.col("wanted"), _of_size(bands))))
+    retrieved = signed.join(F.broadcast(table), ["size", "band", "least"])
+    retrieved = retrieved.dropDuplicates(["doc_id", "first_word", "license"])
+    contained = F.size(F.array_intersect("wanted", "part")) / F.size("wanted")
+    found = retrieved.select("doc_id", "license", "first_word", contained.alias("containment"))
+    return found.where(F.col("containment") >= share).groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"), F.min("first_word").alias("first_word")
     )
-    return best
 
 
-def _of_class(rows: DataFrame, c: int, group: list, share: float, miss: float) -> DataFrame:
-    step, window = 1 << c, (1 << (c + 1)) - (K - 1)
-    own = _constants([v for _, s in group for v in s])
-    bands = bands_needed([len(s) for _, s in group], window, share, miss)
+def span(c: int) -> int:
+    """Shingles of a window of 2^(c+1) words."""
+    return (1 << (c + 1)) - (K - 1)
+
+
+def _of_size(bands: dict[int, int]) -> Column:
+    chosen = F.lit(1)
+    for c, b in bands.items():
+        chosen = F.when(F.col("size") == c, F.lit(b)).otherwise(chosen)
+    return chosen
+
+
+def _windows(c: int, own: list[int]) -> Column:
+    """The windows of a size that hold a shingle of its templates."""
     spans = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(step)),
-        lambda o: F.struct(o.cast("long").alias("first_word"), F.slice("shingles", o + 1, window).alias("part")),
-    )
-    near = F.filter(spans, lambda s: F.arrays_overlap(s["part"], own))
-    windows = rows.select("doc_id", F.inline(near))
-    spark = rows.sparkSession
-    held = spark.createDataFrame(group, "license string, wanted array<long>")
-    table = held.select("license", "wanted", F.inline(_minima(F.col("wanted"), bands)))
-    signed = windows.select("doc_id", "first_word", "part", F.inline(_minima(F.col("part"), bands)))
-    retrieved = signed.join(F.broadcast(table), ["band", "least"])
-    retrieved = retrieved.dropDuplicates(["doc_id", "first_word", "license"])
-    contained = F.size(F.array_intersect("wanted", "part")) / F.size("wanted")
-    return retrieved.select("doc_id", "license", "first_word", contained.alias("containment")).where(
-        F.col("containment") >= share
+        F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(1 << c)),
+        lambda o: F.struct(
+            F.lit(c).alias("size"),
+            o.cast("long").alias("first_word"),
+            F.slice("shingles", o + 1, span(c)).alias("part"),
+        ),
     )
+    return F.filter(spans, lambda s: F.arrays_overlap(s["part"], _constants(own)))
 
 
 def oracle(templates: list[tuple[str, str]] | None = None, share: float = SHARE) -> str:
