@@ -171,9 +171,12 @@ def quality_prompt(spark, sf_dir):
 
 @query("fewshot_prompt", "SELECT message_id, prompt FROM f_fewshot_prompts")
 def fewshot_prompt(spark, sf_dir):
-    """Examples come from training messages only, the nearest parsed claims of the type.
+    """A prompt for every message with parsed claims.
 
-    The tables hold no claim vectors; a claim takes one of ``embeddings`` by its ids.
+    Messages are dealt into FOLDS by a hash.  Examples are the nearest parsed claims of
+    the type in the other folds, so none comes from the message itself.  The SQL states
+    the first fold only.  The tables hold no claim vectors; a claim takes one of
+    ``embeddings`` by its ids.
     """
     parsed = v.parsed_gold(spark, sf_dir).select(
         "message_id",
@@ -184,18 +187,39 @@ def fewshot_prompt(spark, sf_dir):
         F.col("claim_id").cast("int").alias("claim_id"),
         (F.col("doc_id") * 1_000_000 + F.col("claim_id")).alias("id"),
         (F.col("doc_id") * 31 + F.col("claim_id")).alias("pick"),
-        _in_test(F.col("message_id")).alias("is_query"),
     )
     vectors = v.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     size = F.broadcast(vectors.agg(F.count("*").alias("size")))
-    placed = parsed.select("id", "claim_type", "is_query", "pick").join(size)
+    placed = parsed.select("id", "claim_type", fold(F.col("message_id")).alias("fold"), "pick").join(size)
     placed = placed.withColumn("vec_id", F.col("pick") % F.col("size")).join(vectors, "vec_id")
-    found = tr.example_topk(placed.where(~F.col("is_query")), placed.where("is_query"), 3)
-    return retrieved_prompts(v.gold_rows(spark, sf_dir).where(_in_test(F.col("message_id"))), parsed, found)
+    found = tr.example_topk(*by_fold(placed), 3)
+    return retrieved_prompts(v.gold_rows(spark, sf_dir), parsed, found)
 
 
-def _in_test(message_id):
-    return F.md5(F.concat(F.lit("fewshot:"), message_id)) < "4"
+FOLDS = 4
+
+
+def fold(message_id):
+    """One of FOLDS by the first digit of a hash; fold 0 are the digits 0 to 3."""
+    digit = F.conv(F.substring(F.md5(F.concat(F.lit("fewshot:"), message_id)), 1, 1), 16, 10)
+    return F.floor(digit.cast("int") * FOLDS / 16).cast("int")
+
+
+def by_fold(claims):
+    """Examples and queries (id, claim_type, embedding) whose type names the fold asking.
+
+    Every claim asks in its own fold and is an example in all others.
+    """
+
+    def asked(fold):
+        return F.concat_ws(":", "claim_type", fold).alias("claim_type")
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("fold"))
+    examples = claims.withColumn("asking", F.explode(others))
+    return (
+        examples.select("id", asked(F.col("asking").cast("string")), "embedding"),
+        claims.select("id", asked(F.col("fold").cast("string")), "embedding"),
+    )
 
 
 def retrieved_prompts(rows, parsed, found):
@@ -210,7 +234,7 @@ def retrieved_prompts(rows, parsed, found):
         .groupBy(F.col("query_id").alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", "claim_text", "canonical_form", "slots"))).alias("examples"))
     )
-    claims = parsed.where("is_query").select("id", "message_id", "claim_id").join(shown, "id", "left")
+    claims = parsed.select("id", "message_id", "claim_id").join(shown, "id", "left")
     packed = claims.groupBy("message_id").agg(
         F.array_sort(F.collect_list(F.struct("claim_id", "examples"))).alias("known")
     )
