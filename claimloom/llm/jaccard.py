@@ -21,7 +21,9 @@ Two documents link when their shingle sets have a Jaccard measure of at least
    work.  In the others, members of different components are compared by blocks: a
    list is sorted by size, a block of partners is skipped by size or by the positions
    of the shared shingle (what follows it bounds the overlap), and the rest by
-   the derived bound.  What is left is compared like the pivots' pairs: first a few
+   the derived bound.  A list of over LIST_ROWS rows is dealt into blocks by size,
+   position and hash, and the pairs of blocks that size, position and component allow
+   are groups of their own.  What is left is compared like the pivots' pairs: first a few
    members of each larger component with the others, which joins most of
    what belongs together, then, with the components that gives, all that are still apart.
 5. A comparison first bounds the distance by parity sketches (each differing shingle
@@ -46,8 +48,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_batch, bit_filter, stage
 from .graph import components
@@ -59,11 +62,15 @@ LEAST_FREQUENT = 20
 COUNT_BLOCK = 1 << 22
 SEEN = 1 << 19
 BLOCK = 512
+#: Rows of a list that one group of a task takes; longer lists are dealt into blocks of half of it.
+LIST_ROWS = 1 << 14
+SPREAD = 1 << 12
 SCOUTS = 128
 SKETCH_BITS = (64, 1 << 20)
 
 PASS = "doc_id long, sig long, n long, sketch binary, times long"
 POSTING = "token long, sig long, n int, at int"
+DEALT = ("token", "i", "j", "sig", "n", "at", "group", "low", "high", "half", "sent")
 LISTED = "token long, pivot long, pivot_n int, sig long, n int, at int"
 PAIR = "a long, b long, na int, nb int"
 #: The largest distance of linked sets of these sizes.
@@ -295,14 +302,13 @@ def scouts(group: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return marked
 
 
-def cross_pairs(group, n, at, low, high, sig, sent=None) -> list[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(group, n, at, low, high, sig, sent=None, half=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Undecided pairs of one list: row numbers of members of different components.
 
     Rows are sorted by size.  Blocks of partners are skipped by size; single ones by
     the positions of the shared shingle and by distances to the pivot.  With ``sent``,
-    one of the two has to be marked in it.
+    one of the two has to be marked in it; with ``half``, they have to differ in it.
     """
-    found = []
     for start in range(0, len(n), BLOCK):
         i = np.arange(start, min(start + BLOCK, len(n)))
         reach = int(np.searchsorted(n, n[i[-1]] * 100 // PERCENT, "right"))
@@ -321,10 +327,11 @@ def cross_pairs(group, n, at, low, high, sig, sent=None) -> list[tuple[np.ndarra
             )
             if sent is not None:
                 keep &= sent[a] | sent[b]
+            if half is not None:
+                keep &= half[a] != half[b]
             x, y = np.nonzero(keep)
             if len(x):
-                found.append((i[x], j[y]))
-    return found
+                yield i[x], j[y]
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,13 +344,16 @@ def _scouting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa.RecordBatch]:
+    """Rows are those of short lists, or DEALT: pairs of blocks, with half and sent."""
+
     def lists() -> Iterator[list[np.ndarray]]:
         kept = None
         for batch in batches:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
                 rows = [np.concatenate((x, y)) for x, y in zip(kept, rows, strict=True)]
-            cut = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            keys = rows[:3] if len(rows) == len(DEALT) else rows[:1]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             bounds = np.r_[0, cut]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 yield [c[a:b] for c in rows]
@@ -358,18 +368,25 @@ def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa
         rows = np.unique(np.concatenate(out), axis=0)
         return arrow_batch(PAIR, rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32))
 
-    for _token, sig, n, at, group, low, high in lists():
+    for rows in lists():
+        half = None
+        if len(rows) == len(DEALT):
+            _, i, j, sig, n, at, group, low, high, half, sent = rows
+            half = half if i[0] != j[0] else None
+            sent = sent if scouting else None
+        else:
+            _, sig, n, at, group, low, high = rows
+            sent = scouts(group, sig) if scouting else None
         n64 = n.astype(np.int64)
-        sent = scouts(group, sig) if scouting else None
-        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig, sent):
+        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig, sent, half):
             first = sig[i] < sig[j]
             a, b = np.where(first, sig[i], sig[j]), np.where(first, sig[j], sig[i])
             na, nb = np.where(first, n64[i], n64[j]), np.where(first, n64[j], n64[i])
             out.append(np.stack((a, b, na, nb), axis=1))
             size += len(i)
-        if size >= 1 << 18:
-            yield flush()
-            out, size = [], 0
+            if size >= 1 << 18:
+                yield flush()
+                out, size = [], 0
     if out:
         yield flush()
 
@@ -456,9 +473,75 @@ def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, step)
         )
     )
     rows = stage(rows, "grouped")
-    mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y")
-    still = rows.join(mixed.select("token"), "token", "left_semi")
-    return _by_token(still, "n", "sig").mapInArrow(step, PAIR)
+    mixed = rows.groupBy("token").agg(
+        F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("size")
+    ).where("x <> y")
+    mixed = stage(mixed.select("token", "size"), "mixed")
+    long = mixed.where(F.col("size") > LIST_ROWS).select("token")
+    short = rows.join(mixed.where(F.col("size") <= LIST_ROWS).select("token"), "token", "left_semi")
+    pairs = _by_token(short, "n", "sig").mapInArrow(step, PAIR)
+    if long.isEmpty():
+        return pairs
+    dealt = _block_pairs(_spread(rows, long), step is _scouting)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sig")
+    return pairs.unionAll(dealt.mapInArrow(step, PAIR))
+
+
+def _fine() -> Column:
+    return F.pmod(F.xxhash64("sig"), F.lit(SPREAD)).cast("int").alias("fine")
+
+
+def _spread(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The rows of these tokens; one token's rows meet it in SPREAD places."""
+    copies = tokens.select("token", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("fine"))
+    return stage(rows.withColumn("fine", _fine()).join(copies, ["token", "fine"]).drop("fine"), "long")
+
+
+def _block_pairs(rows: DataFrame, scouting: bool) -> DataFrame:
+    """Columns DEALT: the rows of every pair of blocks that may hold undecided pairs.
+
+    Rows are dealt into cells by size (linked sets are in one cell or neighbours), by
+    position and by being a scout, and a cell into blocks by hash.
+    """
+    rows = rows.withColumn("sent", F.lit(False))
+    if scouting:
+        best = Window.partitionBy("token", "group").orderBy(F.xxhash64("sig"), "sig")
+        few = rows.select("token", "group", "sig", F.row_number().over(best).alias("place")).where(F.col("place") <= SCOUTS)
+        several = F.count("*").over(Window.partitionBy("token", "group"))
+        marks = few.withColumn("several", several).where("several > 1").select("token", "sig", F.lit(True).alias("mark"))
+        rows = rows.join(marks, ["token", "sig"], "left").withColumn("sent", F.coalesce("mark", F.lit(False))).drop("mark")
+    width = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+    cell = (width * 32 + F.floor(16 * F.col("at") / F.col("n"))) * 2 + F.col("sent").cast("int")
+    rows = stage(rows.withColumn("cell", cell.cast("long")).withColumn("fine", _fine()), "celled")
+    parts = rows.groupBy("token", "cell", "fine").agg(F.count("*").alias("size"))
+    whole = parts.groupBy("token", "cell").agg(F.ceil(2 * F.sum("size") / LIST_ROWS).alias("blocks"))
+    parts = parts.select("token", "cell", "fine").join(whole, ["token", "cell"])
+    salt = F.pmod(F.xxhash64(F.lit(11), "sig"), F.col("blocks"))
+    dealt = rows.join(parts, ["token", "cell", "fine"]).withColumn("block", F.shiftleft("cell", 32) + salt)
+    dealt = stage(dealt.drop("cell", "fine", "blocks"), "dealt")
+    blocks = dealt.groupBy("token", "block").agg(
+        F.min(F.col("n").cast("long")).alias("least"),
+        F.max(F.col("n").cast("long")).alias("most"),
+        F.max((F.col("n") - F.col("at")).cast("long")).alias("rest"),
+        F.min("group").alias("g"),
+        F.max("group").alias("h"),
+        F.max("sent").alias("sent"),
+    )
+    x, y = (blocks.select("token", *(F.col(c).alias(c + k) for c in blocks.columns[1:])) for k in "ij")
+    allowed = F.expr(
+        f"""blocki <= blockj AND {PERCENT} * leasti <= 100 * mostj AND {PERCENT} * leastj <= 100 * mosti
+        AND leasti + leastj - 2 * least(resti, restj) <= {100 - PERCENT} * (leasti + leastj) div {100 + PERCENT}
+        AND NOT (gi = hi AND gj = hj AND gi = gj)"""
+    )
+    pairs = x.join(y, "token").where(allowed)
+    if scouting:
+        pairs = pairs.where("senti OR sentj")
+    pairs = stage(pairs.select("token", F.col("blocki").alias("i"), F.col("blockj").alias("j")), "block_pairs")
+    sides = pairs.select("token", "i", "j", F.col("i").alias("block"), F.lit(0).alias("half")).unionAll(
+        pairs.where("i <> j").select("token", "i", "j", F.col("j").alias("block"), F.lit(1).alias("half"))
+    )
+    return dealt.join(sides, ["token", "block"]).select(*DEALT)
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
