@@ -9,7 +9,7 @@ centroid than any training text of that language (times ``slack``) is rejected,
 none within ``LEAST_RADIUS``: texts of a few words are far from every centroid.
 
 Learning uses a bounded sample: at most ``per_language`` texts of each of at most
-``max_languages`` languages, chosen by a hash of id and text; only their n-gram
+``max_languages`` languages, those of the smallest hash of id and text; only their n-gram
 counts reach the driver.  Prediction reads whole texts, in one pass, no shuffle.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0 and is
@@ -128,16 +128,16 @@ def train(rows: list[tuple[str, np.ndarray]], k: int = CLUSTERS, slack: float =
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(2).to_pylist()
         made = [counts([t])[0] for t in texts]
         at = [np.flatnonzero(c) for c in made]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns[:2],
                 pa.array([a.astype("<u2").tobytes() for a in at], type=pa.binary()),
                 pa.array([c[a].astype("<f4").tobytes() for a, c in zip(at, made, strict=True)], type=pa.binary()),
             ],
-            names=["lang", "at", "n"],
+            names=["lang", "draw", "at", "n"],
         )
 
 
@@ -161,11 +161,11 @@ def fit(
     for row in sizes:
         share = F.when(F.col("lang") == row["lang"], F.lit(2.0 * per_language / row["count"])).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = usable.where(draw < share).select("lang", "text")
+    sample = usable.select("lang", draw.alias("draw"), "text").where(F.col("draw") < share)
     taken: dict[str, int] = {}
     rows = []
-    drawn = sample.mapInArrow(_count_rows, "lang string, at binary, n binary").collect()
-    for lang, at, n in sorted(drawn, key=lambda r: (r[0], bytes(r[2]), bytes(r[1]))):
+    drawn = sample.mapInArrow(_count_rows, "lang string, draw double, at binary, n binary").collect()
+    for lang, _, at, n in sorted(drawn, key=lambda r: (r[0], r[1], bytes(r[3]), bytes(r[2]))):
         if taken.setdefault(lang, 0) < per_language:
             taken[lang] += 1
             dense = np.zeros(DIMENSIONS, dtype=np.float32)
