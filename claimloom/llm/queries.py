@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, licenses, linededup, packing, substrings, surrogates, winnow
+from . import chat, decontam, jaccard, langid, licenses, linededup, lm, packing, substrings, surrogates, winnow
 from .common import Query, reach, table
 
 QUERIES: dict[str, Query] = {}
@@ -87,3 +87,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_language_model")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
