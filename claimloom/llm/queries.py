@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, licenses, linededup, lm, packing, substrings, surrogates, winnow
+from . import chat, codes, decontam, jaccard, langid, licenses, linededup, lm, packing, substrings, surrogates, winnow
 from .common import Query, reach, table
 
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_language_model")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", codes.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
