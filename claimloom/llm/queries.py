@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, codes, decontam, jaccard, langid, licenses, linededup, lm, packing, substrings, surrogates, winnow
+from . import chat, codes, decontam, jaccard, langid, licenses, linededup, lm, packing, ranked, substrings, surrogates, winnow
 from .common import Query, reach, table
 
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_vector_codes", codes.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_ranked_search", ranked.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
