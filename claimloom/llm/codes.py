@@ -173,6 +173,7 @@ class Codes:
         """Assigns all parts and moves each entry to the floored mean of its parts."""
         books, between, exact, width = self._sent()
         kind = "decimal(38,0)"
+        low = (1 << 62) - 1
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k, each = len(books), width // PARTS
@@ -195,14 +196,15 @@ class Codes:
                     pa.array(entry[used].astype(np.int32)),
                     pa.array(place[used].astype(np.int32)),
                     pa.array(count[part, entry][used]),
-                    pa.array([Decimal(int(x)) for x in total.ravel()[used]], type=pa.decimal128(38, 0)),
+                    pa.array([Decimal(int(x) >> 62) for x in total.ravel()[used]], type=pa.decimal128(38, 0)),
+                    pa.array([Decimal(int(x) & low) for x in total.ravel()[used]], type=pa.decimal128(38, 0)),
                 ],
-                names=["part", "entry", "place", "n", "total"],
+                names=["part", "entry", "place", "n", "high", "low"],
             )
 
-        parts = self.stored.mapInArrow(sums, f"part int, entry int, place int, n long, total {kind}")
-        for r in parts.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect():
-            self.books[r["entry"], r["part"], r["place"]] = int(r["total"]) // r["n"]
+        parts = self.stored.mapInArrow(sums, f"part int, entry int, place int, n long, high {kind}, low {kind}")
+        for r in parts.groupBy("part", "entry", "place").agg(*(F.sum(c).alias(c) for c in ("n", "high", "low"))).collect():
+            self.books[r["entry"], r["part"], r["place"]] = ((int(r["high"]) << 62) + int(r["low"])) // r["n"]
 
     def digest(self) -> str:
         """SHA-256 of all components by part, entry and place."""

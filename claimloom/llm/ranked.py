@@ -106,7 +106,7 @@ class _Block:
     def row(self, number: int) -> pa.RecordBatch:
         docs, keys, times = _counted(self.docs, self.keys, self.times)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(keys))
+        ends = np.append(first[1:], len(keys))[: len(first)]
         n = np.array(self.n, dtype=np.int64)
         postings = [
             {"hash": h, "docs": docs[a:b].astype("<u2").tobytes(), "times": times[a:b].astype("<i8").tobytes()}
