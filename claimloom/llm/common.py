@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, unstage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-__all__ = ["Query", "arrow_batch", "bit_filter", "code_points", "nonnull_text", "reach", "stage", "table"]
+__all__ = ["Query", "arrow_batch", "bit_filter", "code_points", "nonnull_text", "reach", "stage", "table", "unstage"]
 
 FILTER_BITS = (1 << 16, 1 << 27)
 KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("group")),
         "labels",
     )
+    last = labels
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("m"))
         lower = labels.join(around.withColumnRenamed("a", "node"), "node").select(
@@ -31,6 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
             "node", "old", F.least("group", F.coalesce("far", "group")).alias("group")
         )
         jumped = stage(jumped, "labels")
-        labels = jumped.select("node", "group")
+        unstage(last)
+        last, labels = jumped, jumped.select("node", "group")
         if jumped.where("old <> group").isEmpty():
+            unstage(both)
             return labels

@@ -19,9 +19,9 @@ Two documents link when their shingle sets have a Jaccard measure of at least
    first in it or in an earlier one.
 4. Components of the links so far.  A list inside one component needs no more
    work.  In the others, members of different components are compared by blocks: a
-   list is sorted by size, a block of partners is skipped by size or by the positions
-   of the shared shingle (what follows it bounds the overlap), and the rest by
-   the derived bound.  A list of over LIST_ROWS rows is dealt into blocks by size,
+   list is sorted by size, a block of partners is skipped by size, and the rest by the
+   positions of the shared shingle (what follows it bounds the overlap), the derived
+   bound and short parity sketches that the rows carry.  A list of over LIST_ROWS rows is dealt into blocks by size,
    position and hash, and the pairs of blocks that size, position and component allow
    are groups of their own.  What is left is compared like the pivots' pairs: first a few
    members of each larger component with the others, which joins most of
@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batch, bit_filter, stage
+from .common import arrow_batch, bit_filter, stage, unstage
 from .graph import components
 from .shingles import mix, sets
 
@@ -65,10 +65,12 @@ BLOCK = 512
 #: Rows of a list that one group of a task takes; longer lists are dealt into blocks of half of it.
 LIST_ROWS = 1 << 14
 SPREAD = 1 << 12
-SCOUTS = 128
+SCOUTS = 16
+#: Bits of the sketch that index rows carry, so most pairs are rejected where they would be made.
+SHORT_BITS = 512
 SKETCH_BITS = (64, 1 << 20)
 
-PASS = "doc_id long, sig long, n long, sketch binary, times long"
+PASS = "doc_id long, sig long, n long, sketch binary, short binary, times long"
 POSTING = "token long, sig long, n int, at int"
 DEALT = ("token", "i", "j", "sig", "n", "at", "group", "low", "high", "half", "sent")
 LISTED = "token long, pivot long, pivot_n int, sig long, n int, at int"
@@ -95,6 +97,12 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount(cells, minlength=bits) & 1, bitorder="little").tobytes()
 
 
+def short_sketch(x: np.ndarray) -> bytes:
+    """Parities over a fixed number of cells."""
+    cells = (x >> np.uint64(20)).astype(np.int64) & (SHORT_BITS - 1)
+    return np.packbits(np.bincount(cells, minlength=SHORT_BITS) & 1, bitorder="little").tobytes()
+
+
 def apart_at_least(a: bytes, b: bytes) -> int:
     """Differing bits of two sketches; the longer one is folded to the shorter."""
     x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
@@ -117,7 +125,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, times = np.unique(np.concatenate(held), return_counts=True)
         token, times = token[times > 1], times[times > 1]
         none = [None] * len(token)
-        return arrow_batch(PASS, none, token.view(np.int64), none, none, times)
+        return arrow_batch(PASS, none, token.view(np.int64), none, none, none, times)
 
     for batch in batches:
         made = list(sets(_texts(batch)))
@@ -127,6 +135,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [signature(s) if len(s) else None for s in made],
             [len(s) for s in made],
             [sketch(s) for s in made],
+            [short_sketch(s) for s in made],
             [None] * len(made),
         )
         held.extend(made)
@@ -270,18 +279,21 @@ def _compare(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFram
     needed = stage(needed, "needed")
     wanted = spark.sparkContext.broadcast(bit_filter(needed, "sig", needed.count()))
     members = docs.mapInArrow(_wanted_sets(wanted), "sig long, members binary")
-    members = stage(members.join(needed, "sig", "left_semi"), "members").dropDuplicates(["sig"])
+    held = stage(members.join(needed, "sig", "left_semi"), "members")
+    members = held.dropDuplicates(["sig"])
     x = members.select(F.col("sig").alias("a"), F.col("members").alias("x"))
     y = members.select(F.col("sig").alias("b"), F.col("members").alias("y"))
     both = close.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y")
     measured = both.mapInArrow(_measured, PAIR + ", apart long")
     far = bounds.where(F.col("least") > limit)
-    return stage(
+    made = stage(
         measured.select("a", "b", "na", "nb", F.col("apart").alias("least"), F.lit(True).alias("exact")).unionAll(
             far.select("a", "b", "na", "nb", "least", F.lit(False).alias("exact"))
         ),
         "compared",
     )
+    unstage(bounds, needed, held)
+    return made
 
 
 def _links(compared: DataFrame) -> DataFrame:
@@ -302,12 +314,13 @@ def scouts(group: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return marked
 
 
-def cross_pairs(group, n, at, low, high, sig, sent=None, half=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(group, n, at, low, high, sig, sent=None, half=None, short=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Undecided pairs of one list: row numbers of members of different components.
 
     Rows are sorted by size.  Blocks of partners are skipped by size; single ones by
-    the positions of the shared shingle and by distances to the pivot.  With ``sent``,
-    one of the two has to be marked in it; with ``half``, they have to differ in it.
+    the positions of the shared shingle, by distances to the pivot and, with ``short``, by
+    differing bits of the short sketches.  With ``sent``, one of the two has to be marked
+    in it; with ``half``, they have to differ in it.
     """
     for start in range(0, len(n), BLOCK):
         i = np.arange(start, min(start + BLOCK, len(n)))
@@ -330,6 +343,10 @@ def cross_pairs(group, n, at, low, high, sig, sent=None, half=None) -> Iterator[
             if half is not None:
                 keep &= half[a] != half[b]
             x, y = np.nonzero(keep)
+            if short is not None and len(x):
+                differ = np.bitwise_count(short[i[x]] ^ short[j[y]]).sum(axis=1)
+                near = differ <= limit[x, y]
+                x, y = x[near], y[near]
             if len(x):
                 yield i[x], j[y]
 
@@ -344,7 +361,7 @@ def _scouting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa.RecordBatch]:
-    """Rows are those of short lists, or DEALT: pairs of blocks, with half and sent."""
+    """Rows are those of short lists, or DEALT: pairs of blocks, with half and sent; short sketches may follow."""
 
     def lists() -> Iterator[list[np.ndarray]]:
         kept = None
@@ -352,7 +369,7 @@ def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
                 rows = [np.concatenate((x, y)) for x, y in zip(kept, rows, strict=True)]
-            keys = rows[:3] if len(rows) == len(DEALT) else rows[:1]
+            keys = rows[:3] if len(rows) >= len(DEALT) else rows[:1]
             cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             bounds = np.r_[0, cut]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -369,16 +386,18 @@ def _undecided(batches: Iterator[pa.RecordBatch], scouting: bool) -> Iterator[pa
         return arrow_batch(PAIR, rows[:, 0], rows[:, 1], rows[:, 2].astype(np.int32), rows[:, 3].astype(np.int32))
 
     for rows in lists():
-        half = None
-        if len(rows) == len(DEALT):
-            _, i, j, sig, n, at, group, low, high, half, sent = rows
+        half = short = None
+        if len(rows) >= len(DEALT):
+            _, i, j, sig, n, at, group, low, high, half, sent, *more = rows
             half = half if i[0] != j[0] else None
             sent = sent if scouting else None
         else:
-            _, sig, n, at, group, low, high = rows
+            _, sig, n, at, group, low, high, *more = rows
             sent = scouts(group, sig) if scouting else None
+        if more:
+            short = np.frombuffer(b"".join(more[0]), dtype=np.uint64).reshape(len(sig), -1)
         n64 = n.astype(np.int64)
-        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig, sent, half):
+        for i, j in cross_pairs(group, n64, at.astype(np.int64), low, high, sig, sent, half, short):
             first = sig[i] < sig[j]
             a, b = np.where(first, sig[i], sig[j]), np.where(first, sig[j], sig[i])
             na, nb = np.where(first, n64[i], n64[j]), np.where(first, n64[j], n64[i])
@@ -429,10 +448,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = stage(rows.mapInArrow(_first_pass, PASS), "sets")
     members = first.where(F.col("n").isNotNull())
     postings = rows.mapInArrow(_postings(_frequent(spark, first)), POSTING)
-    lists = stage(_by_token(postings, "sig").mapInArrow(_lists, LISTED), "every_list")
-    lists = stage(_distinct_lists(lists), "lists")
+    every = stage(_by_token(postings, "sig").mapInArrow(_lists, LISTED), "every_list")
+    lists = stage(_distinct_lists(every), "lists")
+    unstage(every)
     indexed = lists.select("sig").distinct()
-    sketches = members.select("sig", "sketch").join(indexed, "sig", "left_semi").dropDuplicates(["sig"])
+    sketches = members.select("sig", "sketch", "short").join(indexed, "sig", "left_semi").dropDuplicates(["sig"])
     sketches = stage(sketches, "sketches")
     fits = F.least("n", "pivot_n").cast("long") * 100 >= F.greatest("n", "pivot_n").cast("long") * PERCENT
     to_pivot = lists.where((F.col("sig") != F.col("pivot")) & fits).select(
@@ -441,16 +461,33 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared = _compare(rows, sketches, _distinct(to_pivot))
     groups = stage(components(_links(compared)), "groups")
     known = compared.select("a", "b")
+    left = lists
     for step in (_scouting, _cross):
-        pairs = _distinct(_open_pairs(lists, compared, groups, step)).join(known, ["a", "b"], "left_anti")
-        more = _compare(rows, sketches, stage(pairs, "cross"))
+        wider, left = left, _open_lists(left, groups)
+        made, temporary = _open_pairs(left, compared, sketches, step)
+        pairs = stage(_distinct(made).join(known, ["a", "b"], "left_anti"), "cross")
+        unstage(wider, *temporary)
+        more = _compare(rows, sketches, pairs)
         known = known.unionAll(more.select("a", "b"))
-        groups = stage(_merged(groups, _links(more)), "groups")
+        older, groups = groups, stage(_merged(groups, _links(more)), "groups")
+        unstage(pairs, older)
+    unstage(left, sketches)
     return members, groups.withColumnRenamed("node", "sig")
 
 
-def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, step) -> DataFrame:
-    """Undecided pairs of the lists that hold more than one component."""
+def _open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with each row's component and the list's size."""
+    named = groups.select(F.col("node").alias("sig"), "group")
+    rows = lists.join(named, "sig", "left").withColumn("group", F.coalesce("group", "sig"))
+    rows = stage(rows.select(*(f.split()[0] for f in LISTED.split(", ")), "group"), "grouped")
+    mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("size"))
+    left = stage(rows.join(mixed.where("x <> y").select("token", "size"), "token"), "open")
+    unstage(rows)
+    return left
+
+
+def _open_pairs(left: DataFrame, compared: DataFrame, sketches: DataFrame, step) -> tuple[DataFrame, list]:
+    """Undecided pairs of these lists, and the tables that they are read from."""
     near = compared.select(
         F.col("a").alias("pivot"),
         F.col("b").alias("sig"),
@@ -459,9 +496,8 @@ def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, step)
     )
     own = F.col("sig") == F.col("pivot")
     rows = (
-        lists.join(groups.select(F.col("node").alias("sig"), "group"), "sig", "left")
-        .withColumn("group", F.coalesce("group", "sig"))
-        .join(near, ["pivot", "sig"], "left")
+        left.join(near, ["pivot", "sig"], "left")
+        .join(sketches.select("sig", "short"), "sig")
         .select(
             "token",
             "sig",
@@ -470,22 +506,19 @@ def _open_pairs(lists: DataFrame, compared: DataFrame, groups: DataFrame, step)
             "group",
             F.when(own, F.lit(0)).otherwise(F.coalesce("low", F.abs(F.col("n") - F.col("pivot_n")))).cast("long").alias("low"),
             F.when(own, F.lit(0)).otherwise(F.coalesce("high", F.col("n") + F.col("pivot_n"))).cast("long").alias("high"),
+            "short",
+            "size",
         )
     )
-    rows = stage(rows, "grouped")
-    mixed = rows.groupBy("token").agg(
-        F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("size")
-    ).where("x <> y")
-    mixed = stage(mixed.select("token", "size"), "mixed")
-    long = mixed.where(F.col("size") > LIST_ROWS).select("token")
-    short = rows.join(mixed.where(F.col("size") <= LIST_ROWS).select("token"), "token", "left_semi")
-    pairs = _by_token(short, "n", "sig").mapInArrow(step, PAIR)
+    pairs = _by_token(rows.where(F.col("size") <= LIST_ROWS).drop("size"), "n", "sig").mapInArrow(step, PAIR)
+    long = left.where(F.col("size") > LIST_ROWS).select("token").distinct()
     if long.isEmpty():
-        return pairs
-    dealt = _block_pairs(_spread(rows, long), step is _scouting)
+        return pairs, []
+    spread = _spread(rows.where(F.col("size") > LIST_ROWS).drop("size"), long)
+    dealt = _block_pairs(spread, step is _scouting)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "sig")
-    return pairs.unionAll(dealt.mapInArrow(step, PAIR))
+    return pairs.unionAll(dealt.mapInArrow(step, PAIR)), [spread]
 
 
 def _fine() -> Column:
@@ -541,7 +574,7 @@ def _block_pairs(rows: DataFrame, scouting: bool) -> DataFrame:
     sides = pairs.select("token", "i", "j", F.col("i").alias("block"), F.lit(0).alias("half")).unionAll(
         pairs.where("i <> j").select("token", "i", "j", F.col("j").alias("block"), F.lit(1).alias("half"))
     )
-    return dealt.join(sides, ["token", "block"]).select(*DEALT)
+    return dealt.join(sides, ["token", "block"]).select(*DEALT, *(c for c in ("short",) if c in dealt.columns))
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -572,7 +605,49 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(name: str):
+    """The rows as they come with the signature of their set; null for empty sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [signature(s) if len(s) else None for s in sets(_texts(batch))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, type=pa.int64())], names=[*batch.schema.names, name])
+
+    return run
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, as it came."""
-    found = join(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["gone"], "left_anti")
+    """One row of each component, as it came; rows with empty sets all stay.
+
+    It is the one with the smallest doc_id (a null one last), then with the smallest
+    signature; of several such rows any one.  So of repeated rows one stays, of copies
+    with null ids one, and rows with one id and unlinked texts all stay.
+    """
+    members, groups = classes(docs)
+    rows = members.where("n > 0").groupBy("sig", "doc_id").agg(F.count("*").alias("times"))
+    rows = rows.join(groups, "sig", "left").withColumn("group", F.coalesce("group", "sig"))
+    rows = stage(rows, "rows")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "sig", "times")).alias("f")
+    best = stage(rows.groupBy("group").agg(first).select("f.none", F.coalesce("f.doc_id", F.lit(0)).alias("id"), "f.sig", "f.times"), "best")
+    key = [F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "sig"]
+    gone = rows.select(*key).join(best, ["none", "id", "sig"], "left_anti")
+    several = best.where("times > 1").drop("times")
+    own = "sig"
+    while own in docs.columns:
+        own += "_"
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    tagged = docs.mapInArrow(_tagged(own), f"{plain}, {own} long")
+
+    def same(side: DataFrame):
+        return (
+            (tagged[own] == side["sig"])
+            & (F.coalesce(tagged["doc_id"].cast("long"), F.lit(0)) == side["id"])
+            & (F.isnull(tagged["doc_id"]) == side["none"])
+        )
+
+    kept = tagged.join(gone, same(gone), "left_anti")
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(several, same(several), "left_anti")
+    repeated = kept.join(several, same(several), "left_semi").dropDuplicates(["doc_id", own])
+    return once.select(*docs.columns).unionAll(repeated.select(*docs.columns))

@@ -51,3 +51,21 @@ def test_join_with_long_lists_equals_brute_force(spark, monkeypatch):
     got = jaccard.join(frame(spark, rows)).collect()
     expected = [(d, len(brute.shingles(t)), c) for (d, t), c in zip(rows, brute.jaccard_components(rows), strict=True)]
     assert keyed((r.doc_id, r.n_shingles, r.component_id) for r in got) == keyed(expected)
+
+
+def test_short_sketches_lose_no_linked_pair():
+    rng = np.random.default_rng(8)
+    for size in (3, 40, 400, 3000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            y = np.unique(np.concatenate((x[: len(x) - rng.integers(0, size // 3 + 1)], rng.integers(0, 1 << 63, rng.integers(0, size // 4 + 1), dtype=np.uint64))))
+            a, b = (np.frombuffer(jaccard.short_sketch(v), dtype=np.uint64) for v in (x, y))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = "one two three four five six seven"
+    other = "quite another text of nine words is this one"
+    rows = [(1, text), (1, text), (2, text), (2, other), (None, text), (None, text), (None, "a lone text without id here"), (None, "a lone text without id here"), (3, ""), (3, "")]
+    kept = [(r.doc_id, r.text) for r in jaccard.representatives(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text), (2, other), (None, "a lone text without id here"), (3, ""), (3, "")], key=str)
