@@ -478,8 +478,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with each row's component and the list's size."""
     named = groups.select(F.col("node").alias("sig"), "group")
-    rows = lists.join(named, "sig", "left").withColumn("group", F.coalesce("group", "sig"))
-    rows = stage(rows.select(*(f.split()[0] for f in LISTED.split(", ")), "group"), "grouped")
+    columns = [f.split()[0] for f in LISTED.split(", ")]
+    rows = lists.select(*columns).join(named, "sig", "left").select(*columns, F.coalesce("group", "sig").alias("group"))
+    rows = stage(rows, "grouped")
     mixed = rows.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("size"))
     left = stage(rows.join(mixed.where("x <> y").select("token", "size"), "token"), "open")
     unstage(rows)
