@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,70 +104,3 @@ def augment_substitute(examples: DataFrame, factor: int = 2, seed: int = 42) ->
     )
     originals = ranked.select("example_id", F.lit(None).cast("long").alias("draw"), *payload)
     return originals.unionByName(copies)
-
-
-# ---------------------------------------------------------------- retrieval
-
-BLOCK_ROWS = 16384
-PRODUCT_ROWS = 512
-SCORE_DIGITS = 6
-
-
-def example_topk(examples: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """The k examples of the same claim type with the largest dot product.
-
-    Exact.  Each type's queries and examples are dealt into blocks of about
-    BLOCK_ROWS rows, as many as its size asks for; every pair of blocks of a
-    type is multiplied in a task of its own, PRODUCT_ROWS queries at a time, and
-    hands on only its k best per query.  A row is copied once for every block of the
-    other side, so Q queries and E examples move about 2 * Q * E / BLOCK_ROWS
-    rows.  Neither a common type nor the number of pairs ever
-    meets in one place.  Scores are rounded before ranking and equal ones go
-    to the smaller example id.  Inputs: id, claim_type, embedding.
-    """
-
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("claim_type").agg(
-            F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name)
-        )
-
-    # one row per claim type present on both sides: always small
-    blocks = F.broadcast(sizes(queries, "n_q").join(sizes(examples, "n_e"), "claim_type"))
-
-    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        # aliases give both sides columns of their own, also for one input table
-        return df.join(blocks, "claim_type").select(
-            F.col("claim_type").alias("claim_type"),
-            F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other),
-            F.col("id").cast("long").alias("id"),
-            F.col("embedding").alias("embedding"),
-        )
-
-    def best(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or e.empty:
-            return pd.DataFrame({"query_id": [], "example_id": [], "score": []})
-        e = e.sort_values("id")
-        wanted = np.stack(q["embedding"]).astype(np.float64)
-        known = np.stack(e["embedding"]).astype(np.float64).T
-        tops, values = [], []
-        for at in range(0, len(wanted), PRODUCT_ROWS):
-            scores = np.round(wanted[at : at + PRODUCT_ROWS] @ known, SCORE_DIGITS)
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            tops.append(top)
-            values.append(np.take_along_axis(scores, top, axis=1))
-        top = np.concatenate(tops)
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(q["id"].to_numpy(), top.shape[1]),
-                "example_id": e["id"].to_numpy()[top].ravel(),
-                "score": np.concatenate(values).ravel(),
-            }
-        )
-
-    key = ["claim_type", "q_block", "e_block"]
-    left = dealt(queries, "q_block", "n_q", "e_block", "n_e").groupBy(*key)
-    right = dealt(examples, "e_block", "n_e", "q_block", "n_q").groupBy(*key)
-    local = left.cogroup(right).applyInPandas(best, "query_id long, example_id long, score double")
-    best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "example_id")
-    return local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)

@@ -41,14 +41,15 @@ PROMPT_VIEWS = {
     SELECT message_id, {fill_sql(QUALITY_PROMPT, message='text')} AS prompt FROM f_messages WHERE label IS DISTINCT FROM 'ham'
     """,
     "f_claim_vectors": """
-    SELECT p.message_id, p.claim_id, p.claim_type, p.doc_id * 1000000 + p.claim_id AS id, md5('fewshot:' || p.message_id) < '4' AS is_query, e.embedding::DOUBLE[] AS e
+    SELECT p.message_id, p.claim_id, p.claim_type, p.doc_id * 1000000 + p.claim_id AS id,
+           ('0x' || md5('fewshot:' || p.message_id)[1:1])::INTEGER // 4 AS fold, e.embedding::DOUBLE[] AS e
     FROM f_pclaims_g p JOIN embeddings e ON e.vec_id = (p.doc_id * 31 + p.claim_id) % (SELECT count(*) FROM embeddings)
     """,
     "f_retrieved": """
-    SELECT message_id, claim_id, claim_type, example_id, row_number() OVER (PARTITION BY message_id, claim_id ORDER BY score DESC, example_id) AS k
-    FROM (SELECT q.message_id, q.claim_id, claim_type, c.id AS example_id, round(list_inner_product(q.e, c.e), 6) AS score
-          FROM f_claim_vectors q JOIN f_claim_vectors c USING (claim_type) WHERE q.is_query AND NOT c.is_query)
-    QUALIFY k <= 3
+    SELECT message_id, claim_id, claim_type, best[k].i AS example_id, k FROM (
+      SELECT *, unnest(range(1, len(best) + 1)) AS k FROM (
+        SELECT q.message_id, q.claim_id, claim_type, min({'s': -round(list_inner_product(q.e, c.e), 6), 'i': c.id}, 3) AS best
+        FROM f_claim_vectors q JOIN f_claim_vectors c USING (claim_type) WHERE q.fold <> c.fold GROUP BY ALL))
     """,
     "f_lines": """
     SELECT g.doc_id * 1000000 + g.claim_id AS id, '"' || g.claim_text || '" → canonical: "' || g.canonical_form || '", slots: {' ||
@@ -66,6 +67,6 @@ PROMPT_VIEWS = {
              string_agg(b.block, chr(10) || chr(10) ORDER BY g.claim_id) AS schemas, coalesce(string_agg(x.shown, '' ORDER BY g.claim_id), '') AS examples
       FROM f_messages m JOIN f_gold g ON g.doc_id = m.doc_id JOIN d_blocks b ON b.claim_type = g.claim_type
       LEFT JOIN f_shown x ON x.message_id = g.message_id AND x.claim_id = g.claim_id
-      WHERE md5('fewshot:' || m.message_id) < '4' GROUP BY 1, 2)
+      WHERE m.message_id IN (SELECT message_id FROM f_pclaims_g) GROUP BY 1, 2)
     """,
 }

@@ -9,6 +9,7 @@ from ..functions.constants import GOLD_QUOTAS, SLOT_SCHEMA, SUBSTITUTIONS
 from ..functions.responses import parse_pipe_output
 from ..operators import sampling as sm
 from ..operators import spans as sp
+from ..operators import retrieval as rt
 from ..operators import training as tr
 from ..operators.labels import label_normalize
 from ..session import scratch_dir
@@ -354,8 +355,36 @@ def augment_substitute(spark, sf_dir):
     """,
 )
 def example_topk(spark, sf_dir):
-    e = v.table(spark, sf_dir, "embeddings").select(
+    e = _example_vectors(spark, sf_dir)
+    is_query = F.md5(F.concat(F.lit("split:"), F.col("id").cast("string"))) < "4"
+    return rt.example_topk(e.where(~is_query), e.where(is_query))
+
+
+def _example_vectors(spark, sf_dir):
+    return v.table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), v.type_at(F.col("label")).alias("claim_type"), "embedding"
     )
-    is_query = F.md5(F.concat(F.lit("split:"), F.col("id").cast("string"))) < "4"
-    return tr.example_topk(e.where(~is_query), e.where(is_query))
+
+
+@query(
+    "example_index",
+    f"""
+    WITH x AS (SELECT vec_id AS id, ({v.DIM12})[label + 1] AS claim_type FROM embeddings),
+    n AS (SELECT claim_type, count(*) AS n FROM x GROUP BY 1)
+    SELECT count(*) AS n_queries, sum(least(n, 3))::BIGINT AS n_wanted, count(*) AS n_answered, true AS recall_reached
+    FROM x JOIN n USING (claim_type) WHERE id % 50 = 0
+    """,
+)
+def example_index(spark, sf_dir):
+    """Lists that hold every row, asked by the ids divisible by 50; recall against the exact product."""
+    e = _example_vectors(spark, sf_dir)
+    asked = e.where("id % 50 = 0")
+    found = rt.VectorIndex.build(e).search(asked)
+    hits = rt.recall(found, rt.example_topk(e, asked))
+    answered = found.select(F.col("query_id").alias("q")).distinct()
+    return hits.join(answered, F.col("query_id") == F.col("q"), "left").agg(
+        F.count("*").alias("n_queries"),
+        F.sum("wanted").alias("n_wanted"),
+        F.count("q").alias("n_answered"),
+        (F.sum("hits") >= 0.9 * F.sum("wanted")).alias("recall_reached"),
+    )

@@ -12,8 +12,8 @@ from ..functions.constants import MONTH_MARKS, TIME_MARKS, URGENCY_KEYWORDS
 from ..functions.ratios import safe_ratio as ratio_of
 from ..operators import entities as en
 from ..operators import ranking as rk
+from ..operators import retrieval as rt
 from ..operators import spans as sp
-from ..operators import training as tr
 from ..session import scratch_dir
 from ..sources import tabular
 from . import views as v
@@ -174,9 +174,8 @@ def fewshot_prompt(spark, sf_dir):
     """A prompt for every message with parsed claims.
 
     Messages are dealt into FOLDS by a hash.  Examples are the nearest parsed claims of
-    the type in the other folds, so none comes from the message itself.  The SQL states
-    the first fold only.  The tables hold no claim vectors; a claim takes one of
-    ``embeddings`` by its ids.
+    the type in the other folds, so none comes from the message itself.  The tables hold
+    no claim vectors; a claim takes one of ``embeddings`` by its ids.
     """
     parsed = v.parsed_gold(spark, sf_dir).select(
         "message_id",
@@ -192,7 +191,7 @@ def fewshot_prompt(spark, sf_dir):
     size = F.broadcast(vectors.agg(F.count("*").alias("size")))
     placed = parsed.select("id", "claim_type", fold(F.col("message_id")).alias("fold"), "pick").join(size)
     placed = placed.withColumn("vec_id", F.col("pick") % F.col("size")).join(vectors, "vec_id")
-    found = tr.example_topk(*by_fold(placed), 3)
+    found = rt.example_topk(placed, placed, 3, apart="fold")
     return retrieved_prompts(v.gold_rows(spark, sf_dir), parsed, found)
 
 
@@ -205,23 +204,6 @@ def fold(message_id):
     return F.floor(digit.cast("int") * FOLDS / 16).cast("int")
 
 
-def by_fold(claims):
-    """Examples and queries (id, claim_type, embedding) whose type names the fold asking.
-
-    Every claim asks in its own fold and is an example in all others.
-    """
-
-    def asked(fold):
-        return F.concat_ws(":", "claim_type", fold).alias("claim_type")
-
-    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("fold"))
-    examples = claims.withColumn("asking", F.explode(others))
-    return (
-        examples.select("id", asked(F.col("asking").cast("string")), "embedding"),
-        claims.select("id", asked(F.col("fold").cast("string")), "embedding"),
-    )
-
-
 def retrieved_prompts(rows, parsed, found):
     """Prompts of messages (message_id, text, spans) with the retrieved examples of each span.
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from claimloom.operators import retrieval as rt
 from claimloom.operators import sampling as sm
 from claimloom.operators import training as tr
 from claimloom.operators.quantiles import exact_quantiles
@@ -81,14 +82,14 @@ def test_quota_equals_loop(spark, target):
 
 
 def test_topk_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(tr, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(rt, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(1)
     kinds = ["A"] * 100 + ["B"] * 20
     pdf = pd.DataFrame({"id": range(120), "claim_type": kinds, "embedding": rng.normal(size=(120, 8)).tolist()})
     ex = spark.createDataFrame(pdf[pdf.id % 4 != 0], "id long, claim_type string, embedding array<double>")
     qs = spark.createDataFrame(pdf[pdf.id % 4 == 0], "id long, claim_type string, embedding array<double>")
     got = {}
-    for r in tr.example_topk(ex, qs, 5).collect():
+    for r in rt.example_topk(ex, qs, 5).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.example_id
     for q in pdf[pdf.id % 4 == 0].itertuples():
         same = pdf[(pdf.id % 4 != 0) & (pdf.claim_type == q.claim_type)]
