@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,7 @@ from ..functions.constants import (
     RAW_TEXT_COLUMNS,
 )
 from ..functions.text import strip
+from . import csv_ranges
 
 CSV_OPTIONS = {
     "header": "true",
@@ -55,66 +56,28 @@ def with_source_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     )
 
 
-def first_filled(df: DataFrame, names: list[str]) -> Column:
-    """The first non-empty value among the columns that exist."""
-    present = [F.nullif(F.col(n), F.lit("")) for n in names if n in df.columns]
-    return F.coalesce(*present) if present else F.lit(None).cast("string")
-
-
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Labelled messages; ids number the rows before incomplete ones drop.
 
-    Quoted line breaks need ``multiline``, which makes a file one split.
+    Files are read in ranges, also where quoted texts hold line breaks.
     """
-    raw = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).csv(path)
-    rows = with_source_index(raw, "_row").select(
-        "_row",
-        first_filled(raw, RAW_TEXT_COLUMNS).alias("_text"),
-        first_filled(raw, RAW_LABEL_COLUMNS).alias("_label"),
-    )
+    wanted = {"_text": RAW_TEXT_COLUMNS, "_label": RAW_LABEL_COLUMNS}
+    rows = csv_ranges.read(spark, path, wanted, OOD_ENCODINGS)
     return rows.where(F.col("_text").isNotNull() & F.col("_label").isNotNull()).select(
-        F.format_string("msg_%06d", "_row").alias("message_id"),
+        F.format_string("msg_%06d", "row").alias("message_id"),
         strip(F.col("_text")).alias("text"),
         F.lower(strip(F.col("_label"))).alias("label"),
     )
 
 
-def undecodable_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files (column ``file``) with a line that is not UTF-8, judged by its bytes."""
-    # the line reader hands on bytes as they are, valid or not
-    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return lines.select(F.col("_metadata.file_path").alias("file")).distinct()
+def read_text_csv(spark: SparkSession, path: str, encodings: list[str] = OOD_ENCODINGS) -> DataFrame:
+    """The text column of CSV files of unknown layout and encoding.
 
-
-def read_text_csv(
-    spark: SparkSession,
-    path: str,
-    encodings: list[str] = OOD_ENCODINGS,
-    multiline: bool = False,
-) -> DataFrame:
-    """The text column of a CSV of unknown layout and encoding.
-
-    A file is read as UTF-8 when all its bytes are, whatever characters they stand
-    for, else in the last of ``encodings``, each file for itself.  Quoted line
-    breaks need ``multiline``, which makes a file one split.
+    Each file is read in the first of ``encodings`` in which all its bytes are valid, else
+    in the last.  Files are read in ranges, also where quoted texts hold line breaks.
     """
-
-    def read(encoding: str) -> DataFrame:
-        raw = (
-            spark.read.options(**CSV_OPTIONS)
-            .option("multiLine", multiline)
-            .option("encoding", encoding)
-            .csv(path)
-        )
-        name = next((c for c in OOD_TEXT_COLUMNS if c in raw.columns), None)
-        if name is None:
-            raise ValueError(f"no text column among {raw.columns}")
-        return raw.select(F.col(name).alias("text"), F.col("_metadata.file_path").alias("file"))
-
-    bad = undecodable_files(spark, path)
-    utf8 = read("UTF-8").join(bad, "file", "left_anti")
-    other = read(encodings[-1]).join(bad, "file", "left_semi")
-    return utf8.unionAll(other).select("text").where(F.length(strip(F.col("text"))) > 0)
+    rows = csv_ranges.read(spark, path, {"text": OOD_TEXT_COLUMNS}, encodings)
+    return rows.select("text").where(F.length(strip(F.col("text"))) > 0)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
