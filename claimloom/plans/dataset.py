@@ -12,7 +12,7 @@ from ..session import scratch_dir
 from ..sources import annotations as an
 from ..sources import sinks, tabular
 from . import views as v
-from .registry import query
+from .registry import ORACLES, query
 from .views import _WS, sql_collapse
 
 _TRIM = rf"'^{_WS}+|{_WS}+$', '', 'g'"
@@ -33,7 +33,10 @@ _TRIM = rf"'^{_WS}+|{_WS}+$', '', 'g'"
 def scan_annotations(spark, sf_dir):
     path = scratch_dir(spark, "annotations")
     an.write_annotations(v.annotations(spark, sf_dir), path)
-    docs = an.read_annotations(spark, path)
+    return _annotation_facts(an.read_annotations(spark, path))
+
+
+def _annotation_facts(docs):
     return docs.select(
         "id",
         F.col("data.text").alias("text"),
@@ -44,6 +47,18 @@ def scan_annotations(spark, sf_dir):
     )
 
 
+@query("scan_annotation_array", ORACLES["scan_annotations"])
+def scan_annotation_array(spark, sf_dir):
+    """The same documents from files that hold JSON arrays, read in ranges."""
+    path = scratch_dir(spark, "annotation_arrays")
+    docs = v.annotations(spark, sf_dir)
+    groups = max(2, docs.count() // 2000)
+    row = F.to_json(F.struct(*docs.columns))
+    arrays = docs.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("file"), row.alias("o")).groupBy("file")
+    arrays.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("o")), F.lit("]")).alias("value")).select("value").write.text(path)
+    return _annotation_facts(an.read_annotations(spark, path, one_array=True))
+
+
 @query("flatten_messages", "SELECT message_id, text, label, split FROM f_meta")
 def flatten_messages(spark, sf_dir):
     return an.flatten_messages(v.annotations(spark, sf_dir, pinned=False))

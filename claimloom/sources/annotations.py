@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import json_ranges
+
 VALUE = "struct<start:int,end:int,text:string,labels:array<string>>"
 RESULT = f"array<struct<value:{VALUE}>>"
 META = (
@@ -23,15 +25,17 @@ PARSED_SCHEMA = (
 def read_annotations(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
     """Annotation documents with a fixed schema; absent fields become NULL.
 
-    JSON lines are splittable and the form to use at scale; ``one_array`` reads
-    a file holding a single JSON array.  A missing path is an error.
+    JSON lines by default; ``one_array`` reads files that hold JSON arrays, in ranges.  A
+    missing path is an error.
     """
-    return spark.read.schema(ANNOTATION_SCHEMA).option("multiLine", one_array).json(path)
+    if one_array:
+        return json_ranges.read(spark, path, ANNOTATION_SCHEMA)
+    return spark.read.schema(ANNOTATION_SCHEMA).json(path)
 
 
 def read_parsed_claims(spark: SparkSession, path: str, one_array: bool = False) -> DataFrame:
     """Parsed claims; slots default to an empty map, extra fields are ignored."""
-    raw = spark.read.schema(PARSED_SCHEMA).option("multiLine", one_array).json(path)
+    raw = json_ranges.read(spark, path, PARSED_SCHEMA) if one_array else spark.read.schema(PARSED_SCHEMA).json(path)
     empty = F.create_map().cast("map<string,string>")
     return raw.withColumn("slots", F.coalesce("slots", empty))
 
