@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.claims import collapse
 from ..functions.text import good_span, preview
+from ..operators import intervals as iv
 from ..operators import labels as lb
 from ..operators import spans as sp
 from ..session import scratch_dir
@@ -455,6 +456,12 @@ def span_overlap_pairs(spark, sf_dir):
     return sp.span_overlap_pairs(v.raw_rows(spark, sf_dir))
 
 
+@query("span_overlap_flat", ORACLES["span_overlap_pairs"])
+def span_overlap_flat(spark, sf_dir):
+    """The same pairs of one row per span, joined by position bins."""
+    return iv.span_pairs(v.explode_span_rows(v.raw_rows(spark, sf_dir)))
+
+
 @query(
     "word_span_overlap",
     """

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import responses as rs
 from ..operators import evaluate as ev
+from ..operators import intervals as iv
 from . import views as v
-from .registry import query
+from .registry import ORACLES, query
 from .views import _WS
 
 @query(
@@ -136,6 +137,29 @@ def pred_gt_overlap(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("iou", "coverage")})
 
 
+@query("pred_gt_overlap_flat", ORACLES["pred_gt_overlap"])
+def pred_gt_overlap_flat(spark, sf_dir):
+    """The same of one row per span on either side, joined by position bins."""
+    rows = v.results(spark, sf_dir)
+
+    def flat(side):
+        return rows.select("message_id", F.posexplode(side).alias("claim_id", "s")).select("message_id", "claim_id", "s.start", "s.end", "s.claim_type")
+
+    pred, gold = flat("pred"), flat("gt")
+    found = iv.overlaps(pred, gold)
+    p = pred.select(F.col("message_id").alias("m"), F.col("claim_id").alias("left_id"), (F.col("end") - F.col("start")).alias("pl"), F.col("claim_type").alias("pt"))
+    g = gold.select(F.col("message_id").alias("n"), F.col("claim_id").alias("right_id"), (F.col("end") - F.col("start")).alias("gl"), F.col("claim_type").alias("gt"))
+    named = found.join(p.withColumnRenamed("m", "message_id"), ["message_id", "left_id"]).join(g.withColumnRenamed("n", "message_id"), ["message_id", "right_id"])
+    return named.where("shared > 0").select(
+        "message_id",
+        F.col("left_id").alias("pred_ord"),
+        F.col("right_id").alias("gt_ord"),
+        F.round(F.col("shared") / (F.col("gl") + F.col("pl") - F.col("shared")), 6).alias("iou"),
+        F.round(F.col("shared") / F.col("gl"), 6).alias("coverage"),
+        (F.col("pt") == F.col("gt")).alias("same_type"),
+    )
+
+
 _FLEX = """
     WITH x AS (
       SELECT m.doc_id, m.pred, m.gt, m.score AS iou, p.confidence, p.claim_type = g.claim_type AS same
