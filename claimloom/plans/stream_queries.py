@@ -99,6 +99,57 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("fingerprint string").parquet(f"{path}/out")
 
 
+# A reply comes after ten minutes, some hours later, some after the delay; some fail, some come twice, some never.
+_LAG = "CASE WHEN doc_id % 11 = 2 THEN 108000 WHEN doc_id % 13 = 3 THEN 72000 ELSE 600 END"
+
+
+def _requests(spark, sf_dir):
+    ids = v.table(spark, sf_dir, "documents").select("doc_id").distinct()
+    asked = ids.selectExpr("concat('request-', doc_id) AS custom_id", "doc_id", "timestamp_seconds(1700000000 + 60 * doc_id) AS requested_at")
+    given = ids.where("doc_id % 5 <> 0").selectExpr(
+        "concat('request-', doc_id) AS custom_id",
+        f"timestamp_seconds(1700000000 + 60 * doc_id + {_LAG}) AS answered_at",
+        "if(doc_id % 7 = 1, 'overloaded', '') AS error",
+        "concat('reply ', doc_id) AS content",
+    )
+    again = given.where("error = '' AND pmod(xxhash64(custom_id), 3) = 0").withColumns(
+        {"answered_at": F.expr("answered_at + INTERVAL 30 MINUTES"), "content": F.concat("content", F.lit(" again"))}
+    )
+    return asked, given.unionAll(again)
+
+
+@query(
+    "stream_attach_responses",
+    f"""
+    WITH x AS (SELECT DISTINCT doc_id FROM documents)
+    SELECT 'request-' || doc_id AS custom_id, doc_id, good AS answered, NOT good AS retry,
+           CASE WHEN good THEN 'reply ' || doc_id END AS content
+    FROM (SELECT *, doc_id % 5 <> 0 AND doc_id % 7 <> 1 AND {_LAG} <= 86400 AS good FROM x)
+    """,
+)
+def stream_attach_responses(spark, sf_dir):
+    """Requests and replies arrive in four chunks of time; a last pair far ahead ends all delays."""
+    path = scratch_dir(spark, "stream_replies")
+    asked, given = _requests(spark, sf_dir)
+    span = asked.select("requested_at").unionAll(given.select("answered_at")).agg(F.min("requested_at").alias("a"), F.max("requested_at").alias("b")).first()
+    first, last = (int(x.timestamp()) for x in span)
+    stops = [first + (last + 1 - first) * i // 4 for i in range(5)]
+    end = spark.range(1).selectExpr("'end' AS custom_id", "-1L AS doc_id", f"timestamp_seconds({last + 864000}) AS requested_at")
+    for i in range(5):
+        for name, rows, time in (("asked", asked, "requested_at"), ("given", given, "answered_at")):
+            at = F.unix_seconds(time)
+            chunk = rows.where((at >= stops[i]) & (at < stops[i + 1])) if i < 4 else end.select(
+                "custom_id", *(["doc_id", "requested_at"] if name == "asked" else [F.col("requested_at").alias("answered_at"), F.lit("").alias("error"), F.lit("").alias("content")])
+            )
+            chunk.write.parquet(f"{path}/{name}/chunk{i}")
+        requests = spark.readStream.schema(asked.schema).parquet(f"{path}/asked/*")
+        responses = spark.readStream.schema(given.schema).parquet(f"{path}/given/*")
+        out = st.stream_attach_responses(requests, responses)
+        st.run_available(out, f"{path}/out", f"{path}/state")
+    found = spark.read.schema(out.schema).parquet(f"{path}/out").where("custom_id <> 'end'")
+    return found.select("custom_id", "doc_id", F.col("answered_at").isNotNull().alias("answered"), "retry", "content")
+
+
 @query(
     "ham_smish_classifier",
     """

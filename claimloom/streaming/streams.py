@@ -38,6 +38,34 @@ def stream_dedup(messages: DataFrame, time: str = "ts", delay: str = "1 hour") -
     return marked.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+def stream_attach_responses(
+    requests: DataFrame, responses: DataFrame, delay: str = "24 hours", lateness: str = "1 hour"
+) -> DataFrame:
+    """Requests with their replies, as both arrive; unanswered ones come out for a retry.
+
+    ``requests`` holds custom_id, requested_at and metadata; ``responses`` custom_id,
+    answered_at, error and the reply.  Failed replies drop, and of several the first to
+    arrive counts.  A reply counts when it is given within ``delay`` of its request.  A request
+    without one comes out with ``retry`` true once the watermark has passed its delay;
+    ``lateness`` is how far rows of either side may be out of order.  State holds the
+    requests under way and the replies that may still meet one, nothing older.
+    """
+    failed = F.coalesce(F.length("error") > 0, F.lit(False))
+    replies = (
+        responses.where(~failed)
+        .drop("error")
+        .withColumnRenamed("custom_id", "reply_id")
+        .withWatermark("answered_at", lateness)
+        .dropDuplicatesWithinWatermark(["reply_id"])
+    )
+    in_time = F.expr(
+        "custom_id = reply_id AND answered_at >= requested_at "
+        f"AND answered_at <= requested_at + INTERVAL {delay}"
+    )
+    joined = requests.withWatermark("requested_at", lateness).join(replies, in_time, "leftOuter")
+    return joined.withColumn("retry", F.col("reply_id").isNull()).drop("reply_id")
+
+
 def run_available(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Process what is there now into parquet files, then stop."""
     query = (

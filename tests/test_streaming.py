@@ -63,3 +63,31 @@ def test_identity_review_keeps_the_bounds(spark):
     row = spans.apply_review(found, decided, move_end=False).first()
     assert (row.text, row.start, row.end, row.result_count) == ("the bank", 3, 7, 1)
     assert spans.apply_review(found, decided).first().end == 11
+
+
+def test_replies_over_several_batches(spark, tmp_path):
+    asked = "custom_id string, requested_at timestamp"
+    given = "custom_id string, answered_at timestamp, error string, content string"
+    day = "2024-01-0{} {}:00:00"
+    batches = [
+        ([("a", day.format(1, 10)), ("b", day.format(1, 10)), ("c", day.format(1, 11)), ("d", day.format(1, 11))], [("a", day.format(1, 11), "", "A")]),
+        ([], [("b", day.format(2, "09"), None, "B"), ("c", day.format(1, 12), "failed", "C"), ("a", day.format(1, 12), "", "A again")]),
+        ([("e", day.format(3, 10))], [("d", day.format(3, 10), "", "too late"), ("zz", day.format(3, 10), "", "no request")]),
+        ([("end", day.format(9, 10))], [("end", day.format(8, 10), "", "")]),
+    ]
+    seen = []
+    for i, (left, right) in enumerate(batches):
+        for name, rows, schema in (("asked", left, asked), ("given", right, given)):
+            made = spark.createDataFrame(rows, schema.replace("timestamp", "string"))
+            time = "requested_at" if name == "asked" else "answered_at"
+            made.withColumn(time, F.to_timestamp(time)).coalesce(1).write.parquet(f"{tmp_path}/{name}/{i}")
+        out = streams.stream_attach_responses(
+            spark.readStream.schema(asked).parquet(f"{tmp_path}/asked/*"), spark.readStream.schema(given).parquet(f"{tmp_path}/given/*")
+        )
+        streams.run_available(out, f"{tmp_path}/out", f"{tmp_path}/state")
+        rows = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+        seen.append({(r.custom_id, r.content, r.retry) for r in rows})
+    assert seen[0] == {("a", "A", False)}
+    assert seen[1] - seen[0] == {("b", "B", False)}
+    assert {("c", None, True), ("d", None, True)} <= seen[3]
+    assert seen[3] == {("a", "A", False), ("b", "B", False), ("c", None, True), ("d", None, True), ("e", None, True)}
