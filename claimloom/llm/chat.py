@@ -4,8 +4,9 @@ A record is a JSON object.  Its schema fingerprint is the SHA-256 of its nested
 paths, sorted, with ``[]`` for the elements of a list.  The fingerprint selects a
 declarative mapping: either a list of messages with the names of its role and text
 fields, or an order of fields with their roles.  Nothing else of a record decides
-how it is read, and a record whose fingerprint is not known is reported with
-the fingerprint and without turns.
+how it is read.  A record whose fingerprint is not known, or whose roles and texts are not
+all strings or null, is reported with the fingerprint, without layout and turns; so is one
+that is no JSON or nested too deep to be read, with the fingerprint of an empty record.
 
 The template writes a turn as ``<s>``, role, newline, text, ``</s>``.  Control strings
 inside roles and texts are broken by a backslash after their first character, own
@@ -74,21 +75,25 @@ class Mapping:
             for more in combinations(self.optional, n):
                 yield fingerprint_of((*self.required, *more))
 
-    def turns(self, record: dict) -> list[tuple[str, str]]:
+    def turns(self, record: dict) -> list[tuple[str, str]] | None:
+        """None when a role or text is neither a string nor null."""
+        made = self._turns(record)
+        return made if all(isinstance(x, str) for turn in made for x in turn) else None
+
+    def _turns(self, record: dict) -> list[tuple]:
         if self.each:
             rows: object = record
             for part in self.each.split("."):
                 rows = rows[part]
             names = dict(self.roles)
-            return [
-                (names.get(r.get(self.role), r.get(self.role)) or "", r.get(self.text) or "") for r in rows
-            ]
+            pairs = [("" if r.get(self.role) is None else r[self.role], "" if r.get(self.text) is None else r[self.text]) for r in rows]
+            return [(names.get(role, role) if isinstance(role, str) else role, text) for role, text in pairs]
         made = []
         for role, names in self.fields:
             texts = [record.get(n) for n in names]
-            texts = [t for t in texts if t is not None and (t or self.keep)]
+            texts = [t for t in texts if t is not None and (t != "" or self.keep)]
             if texts:
-                made.append((role, "\n".join(texts)))
+                made.append((role, "\n".join(texts) if all(isinstance(t, str) for t in texts) else texts))
         return made
 
 
@@ -129,11 +134,15 @@ MAPPINGS = [
 ]
 
 
+_MARKS = re.compile(r"[\\.\[\]{}\n]")
+
+
 def paths(value: object, at: str = "") -> set[str]:
-    """The nested field paths of a JSON value."""
+    """The nested field paths of a JSON value; marks of paths inside names are escaped."""
     if isinstance(value, dict):
         found: set[str] = set()
         for key, inner in value.items():
+            key = _MARKS.sub(lambda m: "\\n" if m[0] == "\n" else "\\" + m[0], key)
             found |= paths(inner, f"{at}.{key}" if at else key)
         return found or {at + "{}"}
     if isinstance(value, list):
@@ -145,7 +154,7 @@ def paths(value: object, at: str = "") -> set[str]:
 
 
 def fingerprint_of(field_paths) -> str:
-    return hashlib.sha256("\n".join(sorted(field_paths)).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(field_paths)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _CONTROL = re.compile(r"\\|" + "|".join(map(re.escape, CONTROLS)))
@@ -178,6 +187,14 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
+def whole(text: str) -> str:
+    """The text with U+FFFD for halves of surrogate pairs, which UTF-8 cannot hold."""
+    return _HALF.sub("\ufffd", text)
+
+
+_HALF = re.compile("[\ud800-\udfff]")
+
+
 def _read(known: dict[str, Mapping]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
@@ -186,13 +203,14 @@ def _read(known: dict[str, Mapping]):
             for raw in batch.column(1).to_pylist():
                 try:
                     record = json.loads(raw) if raw else {}
-                except ValueError:
-                    record = {}
-                marks.append(fingerprint_of(paths(record)))
-                mapping = known.get(marks[-1])
-                names.append(mapping.name if mapping else None)
+                    mark = fingerprint_of(paths(record))
+                except (ValueError, RecursionError):
+                    record, mark = {}, fingerprint_of(paths({}))
+                mapping = known.get(mark)
                 made = mapping.turns(record) if mapping else None
-                turns.append(made if made is None else [{"role": r, "text": t} for r, t in made])
+                marks.append(mark)
+                names.append(mapping.name if made is not None else None)
+                turns.append(made if made is None else [{"role": whole(r), "text": whole(t)} for r, t in made])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(marks), pa.array(names, type=pa.string()), pa.array(turns, type=kind)],
                 names=["conv_id", "fingerprint", "layout", "turns"],
