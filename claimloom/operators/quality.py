@@ -193,6 +193,10 @@ def dup_totals(docs: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(texts))
 
 
+#: Places in which the rows of a crowded fingerprint learn how many keys it has.
+FANS = 64
+
+
 def near_dup_hash(messages: DataFrame, id_column: str, rows_per_key: int = 100_000) -> DataFrame:
     """Rows whose normalised text was seen under a smaller id.
 
@@ -212,8 +216,10 @@ def near_dup_hash(messages: DataFrame, id_column: str, rows_per_key: int = 100_0
     groups = stage(groups, "repeated")
     keys = F.ceil(F.col("copies") / F.lit(rows_per_key)).cast("int")
     crowded = groups.where(keys > 1).select("hash", keys.alias("keys"))
-    # at most rows / rows_per_key fingerprints are crowded
-    salted = marked.join(crowded, "hash", "left").withColumn(
+    # the number of keys reaches the rows in FANS places, so the copies of one text do not meet for it
+    fan = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(FANS)).cast("int").alias("fan")
+    fanned = crowded.withColumn("fan", F.explode(F.sequence(F.lit(0), F.lit(FANS - 1))))
+    salted = marked.select("id", "hash", fan).join(fanned, ["hash", "fan"], "left").withColumn(
         "salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("keys")), F.lit(0)).cast("int")
     )
     dealt = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), keys - 1)))

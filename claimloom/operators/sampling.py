@@ -83,7 +83,7 @@ def cut_points(
     # hits: at most one row per class and need
     inside = Window.partitionBy(*by, "_cell").orderBy("_h", "_id")
     edge = (
-        keyed.join(F.broadcast(hits), [*by, "_cell"])
+        keyed.join(hits, [*by, "_cell"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
         .withColumn("_w", F.explode("_ws"))
         .where(F.col("_rank") == F.col("_w.rank"))
@@ -181,8 +181,8 @@ def kfold_assign(messages: DataFrame, label: str, k: int = 5, seed: int = 42) ->
     """fold = exact rank in the class modulo k."""
     keyed, cells = _histogram(messages, "message_id", seed, [label])
     inside = Window.partitionBy(label, "_cell").orderBy("_h", "_id")
-    # the cell table has a fixed bound: 65,536 rows per class
-    ranked = keyed.join(F.broadcast(cells.select(label, "_cell", "_before")), [label, "_cell"])
+    # a cell is a key of its own, so no class meets in one place; Spark chooses the join
+    ranked = keyed.join(cells.select(label, "_cell", "_before"), [label, "_cell"])
     rank = F.col("_before") + F.row_number().over(inside) - 1
     return ranked.select(
         F.col("_id").alias("message_id"), label, F.pmod(rank, F.lit(k)).cast("int").alias("fold")
@@ -251,26 +251,26 @@ def gold_quota_sample(
     Types are served in order, each from messages not picked before.  The
     first q of a type that are still free always lie among its first
     (sum of quotas so far), and the fill among the first ``target`` of a
-    label, so short candidate lists suffice and the picking is exact.
+    label, so short candidate lists suffice and the picking is exact; its cost is
+    linear in ``target``.
     """
     quotas = GOLD_QUOTAS if quotas is None else quotas
     known = spans.join(messages.select("message_id"), "message_id", "left_semi")
     depth = sum(quotas.values())
     h = hash_key(seed, "message_id")
 
-    def shortlist(df: DataFrame, n: int) -> DataFrame:
-        """The first n of each group in hash order, cut by the histogram."""
-        cuts = cut_points(df, "message_id", seed, {"n": lambda size: F.least(size, F.lit(n))}, ["group"])
-        key = F.struct(F.col("_h"), F.col("message_id").cast("string").alias("_id"))
-        return df.join(cuts, "group").where(key <= F.col("_cut_n")).drop("_cut_n")
-
     by_type = known.where(F.col("claim_type").isin(list(quotas))).select(
         F.col("claim_type").alias("group"), "message_id", h.alias("_h")
     )
     by_label = messages.where(F.col("label").isin("ham", "smish")).select(
         F.col("label").alias("group"), "message_id", h.alias("_h")
     )
-    lists = shortlist(by_type.distinct(), depth).unionByName(shortlist(by_label, target))
+    # ids and hashes only, derived once
+    narrow = stage(by_type.distinct().unionByName(by_label), "candidates")
+    most = F.lit(max(depth, target))
+    cuts = cut_points(narrow, "message_id", seed, {"n": lambda size: F.least(size, most)}, ["group"])
+    key = F.struct(F.col("_h"), F.col("message_id").cast("string").alias("_id"))
+    lists = narrow.join(cuts, "group").where(key <= F.col("_cut_n")).drop("_cut_n")
     packed = lists.groupBy("group").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_h", "message_id"))), lambda x: x["message_id"]).alias("ids")
     )
@@ -279,8 +279,8 @@ def gold_quota_sample(
     def pick(chosen: Column, group: Column | str, n: Column) -> Column:
         key = F.lit(group) if isinstance(group, str) else group
         ids = F.coalesce(F.try_element_at("lists", key), F.array().cast("array<string>"))
-        free = F.filter(ids, lambda i: ~F.array_contains(chosen, i))
-        return F.concat(chosen, F.slice(free, F.lit(1), F.greatest(n, F.lit(0))))
+        # set difference by hash, in the order of ids
+        return F.concat(chosen, F.slice(F.array_except(ids, chosen), F.lit(1), F.greatest(n, F.lit(0))))
 
     steps = F.array(
         *[F.struct(F.lit(t).alias("group"), F.lit(q).alias("n")) for t, q in quotas.items()]
