@@ -13,7 +13,7 @@ The benchmark is dealt in blocks of bounded size; every block meets every whole
 document in one map over the documents, so nothing is shuffled.
 
 Defined cases: null texts are empty; an item shorter than ``min_chars`` after
-normalisation is no evidence and never matches; equal items are both reported;
+normalisation has to occur without any edit, one shorter than a q-gram is no evidence; equal items are both reported;
 repeated document rows are each reported; an empty table on either side gives no
 rows; other columns are ignored (``clean`` keeps them as they are).
 """
@@ -75,11 +75,11 @@ class Index:
     """The q-grams of a block of items, sorted, with a bit filter in front."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, rate: float, min_chars: int):
-        kept = [(i, points(t)) for i, t in items if len(t) >= max(min_chars, 2 * q)]
+        kept = [(i, points(t)) for i, t in items if len(t) >= q]
         self.q = q
         self.ids = [i for i, _ in kept]
         self.items = [x for _, x in kept]
-        bounds = [budget(len(x), q, rate) for x in self.items]
+        bounds = [budget(len(x), q, rate if len(x) >= max(min_chars, 2 * q) else 0) for x in self.items]
         self.edits = np.array([b[0] for b in bounds], dtype=np.int64)
         self.need = np.array([b[1] for b in bounds], dtype=np.int64)
         self.reach = max((len(x) for x in self.items), default=0) + int(self.edits.max(initial=0))
