@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +35,19 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "claimloom")
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Let the Python workers import this package from the folder that the driver uses.
+
+    Enough where workers see the driver's folders; on other clusters ship the package
+    with ``addPyFile`` or install it.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    known = spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables written between stages.
 

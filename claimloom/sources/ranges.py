@@ -22,11 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import reach
+
 SPLIT = ["file", "block"]
 
 
 def pieces(spark: SparkSession, path: str, separator: str, **columns: Column) -> DataFrame:
     """file, block and value of every piece, in file order within a split, and further columns."""
+    reach(spark)
     raw = spark.read.option("lineSep", separator).text(path)
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
