@@ -24,6 +24,7 @@ from ..functions.matching import (
 )
 from ..functions.ratios import harmonic, prf, safe_ratio
 from ..functions.text import strip
+from ..sources.layout import write_bucketed
 
 
 def _pairs(choose, consume=always) -> Column:
@@ -363,6 +364,16 @@ def last_per_key(claims: DataFrame, keys: list[str], order: str | None) -> DataF
     )
 
 
+def bucketed_claims(claims: DataFrame, buckets: int, order: str | None = None) -> DataFrame:
+    """Parsed claims as a table bucketed by message, claim and type, the last row per key.
+
+    Two such tables with equal ``buckets`` go through ``align_gold_pred``, ``slot_prf`` and
+    ``canonical_match`` without a shuffle of either side, as often as they are read.
+    """
+    last = last_per_key(claims, KEY, order)
+    return write_bucketed(last.select(*KEY, "canonical_form", "slots"), KEY, buckets)
+
+
 def align_gold_pred(gold: DataFrame, pred: DataFrame, order: str | None = None) -> DataFrame:
     """Full outer alignment on message, claim and type."""
 

@@ -18,6 +18,7 @@ from ..functions.ratios import safe_ratio
 from ..functions.text import fingerprint, slice_text, strip, word_count
 from ..session import stage
 from ..sources.annotations import first_result
+from .frequent import top_values
 from .labels import with_share
 from .quantiles import exact_quantiles
 
@@ -578,22 +579,17 @@ def type_cooccurrence(rows: DataFrame, k: int = 15) -> DataFrame:
     )
 
 
-def freq_desc(df: DataFrame, column: str) -> DataFrame:
+def freq_desc(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
+    """Values by falling frequency; with ``k`` only the first, and rare values are not shuffled."""
+    if k is not None:
+        df = top_values(df, [], column, k).drop("rank")
+        return df.orderBy(F.col("n").desc(), F.col(column))
     return (
         df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(column))
     )
 
 
 def top_entities_per_type(rows: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent surface texts of each type.
-
-    The rank filter is applied before the shuffle by type as well, so a type
-    sends at most k rows per task.
-    """
-    counts = (
-        rows.select(F.explode("spans").alias("s"))
-        .groupBy(F.col("s.claim_type").alias("claim_type"), F.col("s.text").alias("text"))
-        .agg(F.count("*").alias("n"))
-    )
-    order = Window.partitionBy("claim_type").orderBy(F.col("n").desc(), "text")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k most frequent surface texts of each type; rare texts are ruled out before the shuffle."""
+    spans = rows.select(F.explode("spans").alias("s")).select("s.claim_type", "s.text")
+    return top_values(spans, ["claim_type"], "text", k)

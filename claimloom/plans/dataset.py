@@ -12,6 +12,7 @@ from ..operators import spans as sp
 from ..session import scratch_dir
 from ..sources import annotations as an
 from ..sources import sinks, tabular
+from ..sources.layout import SplitLayout
 from . import views as v
 from .registry import ORACLES, query
 from .views import _WS, sql_collapse
@@ -294,6 +295,26 @@ def filter_by_split(spark, sf_dir):
     return lb.filter_by_split(docs, "test").select("message_id", "label")
 
 
+@query("filter_by_split_pruned", "SELECT message_id, label FROM f_meta WHERE split = 'test'")
+def filter_by_split_pruned(spark, sf_dir):
+    """Metadata laid out by split and id range; the read opens one split's files."""
+    docs = an.flatten_messages(v.annotations(spark, sf_dir, pinned=False)).select("message_id", "label", "split")
+    laid = SplitLayout.write(docs, scratch_dir(spark, "layout"))
+    return laid.split("test").select("message_id", "label")
+
+
+@query(
+    "semi_by_ids_pruned",
+    "SELECT message_id, label, split FROM f_meta WHERE message_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1)",
+)
+def semi_by_ids_pruned(spark, sf_dir):
+    """The same layout read by ids; ranges without one of them are skipped."""
+    docs = an.flatten_messages(v.annotations(spark, sf_dir, pinned=False)).select("message_id", "label", "split")
+    laid = SplitLayout.write(docs, scratch_dir(spark, "layout"))
+    ids = v.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("message_id"))
+    return laid.by_ids(ids).select("message_id", "label", "split")
+
+
 @query("lookup_message", "SELECT message_id, text FROM f_messages WHERE message_id = '7'")
 def lookup_message(spark, sf_dir):
     return lb.lookup_message(v.messages(spark, sf_dir), "7")

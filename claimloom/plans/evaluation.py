@@ -238,6 +238,33 @@ def align_gold_pred(spark, sf_dir):
     )
 
 
+def _runs(gold, pred):
+    """Predictions of two runs in input order: a draft of every gold claim, then ``pred``."""
+    drafts = gold.select(*ev.KEY, F.concat(F.lit("draft: "), "canonical_form").alias("canonical_form"), "slots")
+    kept = pred.select(*ev.KEY, "canonical_form", "slots")
+    return drafts.withColumn("run", F.lit(1)).unionByName(kept.withColumn("run", F.lit(2)))
+
+
+@query(
+    "align_gold_pred_last_wins",
+    """
+    SELECT message_id, claim_id, claim_type, g.canonical_form AS gold_form,
+           CASE WHEN p.claim_id IS NULL THEN 'draft: ' || g.canonical_form ELSE p.canonical_form END AS pred_form
+    FROM f_pclaims_g g FULL JOIN f_pclaims_p p USING (message_id, claim_id, claim_type)
+    """,
+)
+def align_gold_pred_last_wins(spark, sf_dir):
+    """Both sides as bucketed tables, repeated keys reduced to the later run; joined without an exchange."""
+    gold = v.parsed_gold(spark, sf_dir)
+    pred = _runs(gold, v.parsed_pred(spark, sf_dir))
+    a = ev.align_gold_pred(ev.bucketed_claims(gold, 32), ev.bucketed_claims(pred, 32, "run"))
+    return a.select(
+        *ev.KEY,
+        F.col("gold.canonical_form").alias("gold_form"),
+        F.col("pred.canonical_form").alias("pred_form"),
+    )
+
+
 _SLOTS = rf"""
     WITH a AS (
       SELECT coalesce(g.claim_type, p.claim_type) AS claim_type, g.slot IS NOT NULL AS in_g, p.slot IS NOT NULL AS in_p,

@@ -248,6 +248,23 @@ def training_pairs_join(spark, sf_dir):
     )
 
 
+@query(
+    "training_pairs_last_wins",
+    f"""
+    WITH t AS ({_TARGET})
+    SELECT g.message_id, g.claim_id, md5('CLAIM_TYPE: ' || g.claim_type || '; TEXT: ' || g.text || '; CONTEXT: ' || m.text) AS input_md5, target_text
+    FROM f_gold g JOIN t USING (message_id, claim_id) JOIN f_messages m ON m.message_id = g.message_id
+    """,
+)
+def training_pairs_last_wins(spark, sf_dir):
+    """Every claim was parsed twice; the later run's parse becomes the target."""
+    parsed = v.parsed_gold(spark, sf_dir).select("message_id", "claim_id", "canonical_form", "slots")
+    draft = parsed.withColumn("canonical_form", F.lit("draft")).withColumn("run", F.lit(1))
+    runs = draft.unionByName(parsed.withColumn("run", F.lit(2)))
+    pairs = sp.training_pairs_join(v.messages(spark, sf_dir), v.gold(spark, sf_dir), runs, "run")
+    return pairs.select("message_id", "claim_id", F.md5("input_text").alias("input_md5"), "target_text")
+
+
 _NAMES = " ".join(f"WHEN '{t}' THEN {quoted(', '.join(s[0] for s in slots))}" for t, slots in SLOT_SCHEMA.items())
 
 

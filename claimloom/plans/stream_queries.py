@@ -85,18 +85,41 @@ def stream_type_counts(spark, sf_dir):
     return spark.read.schema("window_start timestamp, claim_type string, n long").parquet(f"{path}/out")
 
 
+# A text stays known through the chunk after the one that let it out, and is forgotten after that.
 @query(
     "stream_dedup",
-    f"""SELECT DISTINCT {FINGERPRINT} AS fingerprint FROM documents WHERE doc_id IN (SELECT user_id FROM events)""",
+    f"""
+    WITH t AS (SELECT min(floor(epoch(ts))) AS lo, max(floor(epoch(ts))) AS hi FROM events),
+    d AS (SELECT doc_id, {FINGERPRINT} AS fingerprint FROM documents),
+    c AS (SELECT fingerprint, CAST(floor((floor(epoch(ts)) - lo) * 4 / (hi - lo + 1)) AS INTEGER) AS chunk
+          FROM events JOIN d ON doc_id = user_id, t),
+    f AS (SELECT fingerprint, bool_or(chunk = 0) AS c0, bool_or(chunk = 1) AS c1, bool_or(chunk = 2) AS c2, bool_or(chunk = 3) AS c3
+          FROM c GROUP BY 1),
+    e1 AS (SELECT *, c1 AND NOT c0 AS out1 FROM f),
+    e2 AS (SELECT *, c2 AND NOT out1 AS out2 FROM e1)
+    SELECT fingerprint, 0 AS chunk FROM f WHERE c0 UNION ALL SELECT fingerprint, 1 FROM e1 WHERE out1
+    UNION ALL SELECT fingerprint, 2 FROM e2 WHERE out2 UNION ALL SELECT fingerprint, 3 FROM e2 WHERE c3 AND NOT out2
+    """,
 )
 def stream_dedup(spark, sf_dir):
+    """Events carry their user's text, in four chunks of equal time with a pause after each.
+
+    The delay is a chunk's length and the pause three of them, so what is known expires during
+    the chunk after next at the latest and never earlier."""
     path = scratch_dir(spark, "stream_dedup")
-    v.table(spark, sf_dir, "events").select("ts", "user_id").write.parquet(f"{path}/in")
+    events = v.table(spark, sf_dir, "events").select("ts", "user_id")
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(second), F.max(second)).first()
+    length = -(-(last - first + 1) // 4)
+    chunk = F.floor((second - first) * 4 / (last - first + 1)).cast("int")
+    paused = events.select(F.timestamp_seconds(second + chunk * (3 * length)).alias("ts"), "user_id", chunk.alias("chunk"))
     docs = v.documents(spark, sf_dir, "text").withColumnRenamed("doc_id", "user_id")
-    stream = spark.readStream.schema("ts timestamp, user_id long").parquet(f"{path}/in")
-    out = st.stream_dedup(stream.join(docs, "user_id")).select("fingerprint")
-    st.run_available(out, f"{path}/out", f"{path}/state")
-    return spark.read.schema("fingerprint string").parquet(f"{path}/out")
+    for i in range(4):
+        paused.where(F.col("chunk") == i).write.parquet(f"{path}/in/chunk{i}")
+        stream = spark.readStream.schema("ts timestamp, user_id long, chunk int").parquet(f"{path}/in/*")
+        out = st.stream_dedup(stream.join(docs, "user_id"), delay=f"{length} seconds").select("fingerprint", "chunk")
+        st.run_available(out, f"{path}/out", f"{path}/state")
+    return spark.read.schema("fingerprint string, chunk int").parquet(f"{path}/out")
 
 
 # A reply comes after ten minutes, some hours later, some after the delay; some fail, some come twice, some never.

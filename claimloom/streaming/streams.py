@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint
 from ..operators.entities import claim_scan
+from ..session import reach
 
 
 def stream_claim_scan(messages: DataFrame, *keep: str) -> DataFrame:
@@ -30,12 +33,53 @@ def stream_type_counts(
     )
 
 
-def stream_dedup(messages: DataFrame, time: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """First message per text fingerprint; the state of a fingerprint expires
-    ``delay`` behind the watermark.  Rows are keyed by fingerprint, so copies
-    of one text meet in one task; each is dropped on arrival, none is kept."""
+#: Bytes of rows that a task of ``stream_dedup`` holds before it hands some on.
+HELD_BYTES = 64 << 20
+
+
+def _latest_copies(time: str, limit: int):
+    """Arrow batches with one row per fingerprint, its latest; a task holds about ``limit`` bytes.
+
+    What does not fit is handed on early: copies that meet again later are dropped by the state.
+    """
+
+    def reduced(batches):
+        rows = pa.Table.from_batches(batches)
+        order = pc.sort_indices(rows, sort_keys=[(time, "ascending")], null_placement="at_start")
+        last = dict(zip(rows["fingerprint"].take(order).to_pylist(), order.to_pylist()))
+        return rows.take(pa.array(list(last.values()), pa.int64())).to_batches()
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= limit:
+                held = reduced(held)
+                size = sum(b.nbytes for b in held)
+                if size >= limit // 2:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from reduced(held)
+
+    return run
+
+
+def stream_dedup(
+    messages: DataFrame, time: str = "ts", delay: str = "1 hour", held_bytes: int = HELD_BYTES
+) -> DataFrame:
+    """One message per text fingerprint; the state of a fingerprint expires ``delay`` behind the watermark.
+
+    Copies that meet inside a task and micro-batch are reduced to the latest of them before the
+    state's shuffle, so a text with most of the traffic sends one row per task and batch.  It is the
+    latest because that one is late only if all are, and because the watermark stays that of all
+    rows.  Of the rows that are left the state keeps the first to arrive; later ones drop until it expires.
+    """
+    reach(messages.sparkSession)
     marked = messages.withColumn("fingerprint", fingerprint(F.col("text")))
-    return marked.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    single = marked.mapInArrow(_latest_copies(time, held_bytes), marked.schema)
+    return single.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
 def stream_attach_responses(
