@@ -12,7 +12,7 @@ from ..session import stage
 TRACKED = 1 << 12
 #: Cells of each of the two hash counts of a group.
 CELLS = 1 << 14
-#: Rows of the table of kept cells that may be broadcast.
+#: Rows of the tables of proposed values and of kept cells that may be broadcast.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -43,9 +43,9 @@ def top_values(
     proposed = rows.where(F.col("_s").isNotNull()).groupBy(*own).agg(
         F.expr(f"approx_top_k(_s, {int(k)}, {int(tracked)})").alias("_t")
     )
-    proposed = proposed.select(*own, F.explode("_t.item").alias("_s"))
-    # k rows a group; Spark broadcasts them where their size allows it
-    recounted = beside(rows, proposed, [*own, "_s"], "left_semi").groupBy(*own, "_v").agg(F.count("*").alias("_n"))
+    proposed = stage(proposed.select(*own, F.explode("_t.item").alias("_s")), "frequent_proposed")
+    few = proposed.count() <= BROADCAST_ROWS
+    recounted = beside(rows, proposed, [*own, "_s"], "left_semi", few).groupBy(*own, "_v").agg(F.count("*").alias("_n"))
     kth = F.get(F.sort_array(F.collect_list("_n"), asc=False), F.lit(k - 1))
     bounds = recounted.groupBy(*own).agg(F.coalesce(kth, F.lit(1)).alias("_least"))
 
