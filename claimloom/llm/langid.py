@@ -8,9 +8,9 @@ language of the nearest of all centroids by cosine.  A text farther from its
 centroid than any training text of that language (times ``slack``) is rejected, but
 none within ``LEAST_RADIUS``: texts of a few words are far from every centroid.
 
-Learning uses a bounded sample: at most ``per_language`` texts of each of at most
-``max_languages`` languages, those of the smallest hash of id and text; only their n-gram
-counts reach the driver.  Prediction reads whole texts, in one pass, no shuffle.
+Learning uses a bounded sample: at most ``per_language`` texts of each language, those of
+the smallest hash of id and text; only their n-gram counts reach the driver.  More than
+``max_languages`` languages are an error, so that no language is silently left out.  Prediction reads whole texts, in one pass, no shuffle.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0 and is
 rejected; equal texts get equal answers; ties go to the first language in
@@ -156,7 +156,9 @@ def fit(
     usable = labelled.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = usable.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages; give a larger max_languages")
     share = F.lit(0.0)
     for row in sizes:
         share = F.when(F.col("lang") == row["lang"], F.lit(2.0 * per_language / row["count"])).otherwise(share)
