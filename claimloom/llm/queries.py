@@ -12,6 +12,7 @@ from .common import Query, reach, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SURROGATE_KEY = "key of the test tables"
 
 
 def query(key: str, sql: str | None = None):
@@ -62,7 +63,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_surrogates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace(table(spark, sf_dir, "documents"))
+    return surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
 
 
 @query("op10_jaccard_join")

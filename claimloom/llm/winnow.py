@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is a sequence of units: its words, those longer than 16 characters cut into
-16s.  Every run of ``K`` units is hashed; from every ``W`` consecutive hashes
-the smallest is taken, the rightmost of equal ones.  The chosen (hash, position)
+A text is a sequence of units: its words of up to 16 characters, and every character of
+longer ones, so text without blanks is followed character by character.  A rolling
+hash covers every run of ``K`` units: a cyclic polynomial of the units' hashes, in which
+a unit is hashed once and runs grow by rotation and exclusive or.  From every ``W``
+consecutive hashes the smallest is taken, the rightmost of equal ones.  The chosen (hash, position)
 pairs are the fingerprint, so two texts that share ``K + W - 1`` units in a row
 always share a chosen hash.  A pair is one number: 40 bits of the hash, then
 2^24 - 1 minus the position, which makes the smaller number the rightmost of equals.
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import indices, let, pin
+from ..functions.arrays import let, pin
 from .common import code_points
 
 K = 5
@@ -34,21 +36,42 @@ BUCKETS_PER_PARTITION = 4
 
 
 def _units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(\S{1,16})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r"((?<!\S)\S{1,16}(?!\S)|\S)"), F.lit(1))
+
+
+def _rolled(hashes: Column, k: int) -> Column:
+    """The cyclic polynomial of every k neighbours, from those of shorter runs."""
+
+    def rotated(x: Column, by: int) -> Column:
+        return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
+
+    def grown(runs: Column, length: int) -> Column:
+        if length == k:
+            return F.slice(runs, 1, F.size(hashes) - (k - 1))
+        by = length if 2 * length <= k else 1
+        tail = F.slice(runs if by == length else hashes, length + 1, F.size(hashes))
+        return let(
+            F.zip_with(runs, tail, lambda a, b: rotated(a, by).bitwiseXOR(b)),
+            lambda longer: grown(longer, length + by),
+        )
+
+    return grown(hashes, 1)
 
 
 def _runs(units: Column, k: int) -> Column:
     """Hash and position of every run, as one number; fewer than k units are one run."""
 
-    def one(i: Column) -> Column:
-        return (
-            F.xxhash64(F.slice(units, i + 1, k))
+    def numbers(hashes: Column) -> Column:
+        short = F.slice(F.array(F.xxhash64(hashes)), 1, F.least(F.size(hashes), F.lit(1)))
+        runs = F.when(F.size(hashes) < k, short).otherwise(_rolled(hashes, k))
+        return F.transform(
+            runs,
+            lambda run, i: F.xxhash64(run)
             .bitwiseAND(F.lit(~MASK))
-            .bitwiseOR(F.lit(MASK) - i % F.lit(1 << BITS))
+            .bitwiseOR(F.lit(MASK) - i % F.lit(1 << BITS)),
         )
 
-    n = F.size(units)
-    return F.transform(indices(F.when(n > 0, F.greatest(n - (k - 1), F.lit(1))).otherwise(0)), one)
+    return let(F.transform(units, lambda unit: F.xxhash64(unit)), numbers)
 
 
 def _minima(runs: Column, w: int) -> Column:

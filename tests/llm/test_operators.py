@@ -152,25 +152,54 @@ def test_fingerprints(spark, corpus):
     assert got[307].near_edited > 0.4
 
 
+def rolled(spark, texts, units_of):
+    """Run hashes of every text by a plain rolling hash: one unit leaves, one enters."""
+    full = (1 << 64) - 1
+
+    def turn(x, by):
+        return ((x << by) | (x >> (64 - by))) & full
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    units = [units_of(text) for _, text in texts]
+    frame_of = spark.createDataFrame([(u,) for u in sorted({u for us in units for u in us})], "u string")
+    hashed = {r.u: r.h & full for r in frame_of.selectExpr("u", "xxhash64(u) AS h").collect()}
+    runs = []
+    for own in units:
+        h = [hashed[u] for u in own]
+        if len(h) < winnow.K:
+            runs.append([tuple(map(signed, h))] if h else [])
+            continue
+        now = 0
+        for x in h[: winnow.K]:
+            now = turn(now, 1) ^ x
+        out = [now]
+        for gone, new in zip(h, h[winnow.K :]):
+            now = turn(now, 1) ^ turn(gone, winnow.K) ^ new
+            out.append(now)
+        runs.append([signed(x) for x in out])
+    whole = {x for r in runs for x in r if not isinstance(x, tuple)}
+    short = {x for r in runs for x in r if isinstance(x, tuple)}
+    made = spark.createDataFrame([(x,) for x in whole], "x long").selectExpr("x", "shiftright(xxhash64(x), 24) AS h")
+    final = {r.x: r.h for r in made.collect()}
+    made = spark.createDataFrame([(list(x),) for x in short], "x array<long>")
+    final |= {tuple(r.x): r.h for r in made.selectExpr("x", "shiftright(xxhash64(xxhash64(x)), 24) AS h").collect()}
+    return [[final[x] for x in r] for r in runs]
+
+
 def test_winnowing_takes_the_rightmost_smallest_of_every_window(spark):
     rng = random.Random(4)
     texts = [(i, words(rng, n, 3)) for i, n in enumerate([0, 1, 4, 5, 6, 8, 9, 40, 200])]
+    texts.append((9, "some words and " + "".join(rng.choices("abcd", k=60)) + " more words after that"))
     got = {}
     for r in winnow.fingerprint(frame(spark, texts)).collect():
         got.setdefault(r.doc_id, set()).add((r.hash, r.position))
-    values = {}
-    for doc, text in texts:
-        units = text.split()
-        runs = [units[i : i + winnow.K] for i in range(max(1, len(units) - winnow.K + 1))] if units else []
-        for run in runs:
-            values[tuple(run)] = None
-    pairs = spark.createDataFrame([(list(k),) for k in values], "u array<string>").selectExpr(
-        "u", "shiftright(xxhash64(u), 24) AS h"
-    )
-    values = {tuple(r.u): r.h for r in pairs.collect()}
-    for doc, text in texts:
-        units = text.split()
-        hashes = [values[tuple(units[i : i + winnow.K])] for i in range(max(1, len(units) - winnow.K + 1))] if units else []
+
+    def units_of(text):
+        return [u for w in text.split() for u in ([w] if len(w) <= 16 else list(w))]
+
+    for (doc, _), hashes in zip(texts, rolled(spark, texts, units_of), strict=True):
         expected = set()
         for i in range(max(1, len(hashes) - winnow.W + 1)) if hashes else []:
             window = hashes[i : i + winnow.W]
@@ -179,6 +208,13 @@ def test_winnowing_takes_the_rightmost_smallest_of_every_window(spark):
         assert got.get(doc, set()) == expected
 
 
+def test_texts_without_blanks_stay_alike_after_an_insertion(spark):
+    rng = random.Random(6)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(600))
+    row = winnow.compare(frame(spark, [(1, text[:50] + "x" + text[50:]), (2, text)])).collect()
+    assert all(r.near_next > 0.95 for r in row)
+
+
 def test_fingerprints_of_one_document_repeated_rows_and_none(spark):
     one = winnow.compare(frame(spark, [(1, "a b c d e f g h i")])).collect()
     assert len(one) == 1 and one[0].near_next == 1
@@ -225,7 +261,7 @@ def passes_check(number):
 
 
 def test_surrogates(spark):
-    rows = surrogates.replace(frame(spark, PRIVATE)).collect()
+    rows = surrogates.replace(frame(spark, PRIVATE), "k").collect()
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(PRIVATE)
     mails = re.findall(r"\S+@[\w.]+\w", got[1].text)
@@ -236,22 +272,98 @@ def test_surrogates(spark):
     assert cards[0] == cards[1].replace("-", "") != "4944339490429605" and passes_check(cards[0])
     assert re.search(r"from (\d{1,3}\.){3}\d{1,3},", got[2].text) and "10.20.30.40" not in got[2].text
     names = re.match(r"Mr\. (\w+ \w+), Mrs (\w+ \w+) and Mr (\w+ \w+); Господин (\w+)", got[3].text)
-    assert names[3] == names[1].upper() and names[1].endswith("n") and names[2].endswith("na")
+    assert names[3] == names[1].upper()
+    assert names[1].split()[0].endswith("n") and names[2].split()[0].endswith("na")
     assert re.fullmatch("[а-яА-Я]+", names[4])
     assert (got[4].text, got[5].text, got[6].text) == tuple(t for _, t in PRIVATE[3:6])
     short = got[7].text.split()
     assert len(set(short)) == 10 and not set(short) & {f"a{i}@b.co" for i in range(10)}
     assert got[8].n_entities == 1 and "123-45-6789" not in got[8].text
-    assert surrogates.replace(spark.createDataFrame([], EMPTY)).count() == 0
+    assert surrogates.replace(spark.createDataFrame([], EMPTY), "k").count() == 0
 
 
 def test_surrogates_stay_distinct_when_the_format_is_nearly_full(spark):
     real = [("email", f"{a}@b.co") for a in "abcdefghijklmnopqrstuvw"]
-    table = surrogates.assign(spark.createDataFrame(real, "kind string, canonical string")).collect()
+    table = surrogates.assign(spark.createDataFrame(real, "kind string, canonical string"), "k").collect()
     new = [r.surrogate for r in table]
     assert len(table) == len(real) == len(set(new)) and not set(new) & {c for _, c in real}
 
 
+PEOPLE = [
+    (1, "Mr John Smith met Dr Jane Roe. Later John Smith called Mr Smith, and Smith's friend Jane Roe left."),
+    (2, "Smith and John Smith are not named by anyone here."),
+    (3, "Frau Anna-Maria O'Neil; Dr O'Neil; Herr Prof. Kurz and Kurz, Kurzweil and Vor-Kurz"),
+    (4, "Господин Иван Петров, Доктор Иван Петров и Петров"),
+]
+
+
+def test_names_are_met_again_without_their_form_of_address(spark):
+    key = "k"
+    rows = surrogates.replace(frame(spark, PEOPLE), key).collect()
+    got = {r.doc_id: r for r in rows}
+    john = r"(?P<john>[A-Z]\w+n) (?P<smith>[A-Z]\w+l)"
+    jane = r"(?P<jane>[A-Z]\w+l) (?P<roe>[A-Z]\w+l)"
+    shape = rf"Mr {john} met Dr {jane}\. Later (?P=john) (?P=smith) called Mr (?P=smith), and (?P=smith)'s friend (?P=jane) (?P=roe) left\."
+    assert re.fullmatch(shape, got[1].text) and got[1].n_entities == 6
+    assert not re.search("John|Smith|Jane|Roe", got[1].text)
+    assert got[2].text == PEOPLE[1][1] and got[2].n_entities == 0
+    shape = r"Frau (\w+na) (\w+l); Dr (\w+l); Herr Prof\. (\w+l) and (\w+l), Kurzweil and Vor-Kurz"
+    found = re.fullmatch(shape, got[3].text)
+    assert found and found[2] == found[3] and found[4] == found[5]
+    found = re.fullmatch(r"Господин (\w+н) (\w+н), Доктор (\w+) (\w+) и (\w+)", got[4].text)
+    assert found and found[1] == found[3] and found[2] == found[4] == found[5]
+    other = {r.doc_id: r.text for r in surrogates.replace(frame(spark, PEOPLE), "another").collect()}
+    assert other[1] != got[1].text and other[2] == got[2].text
+
+
+def test_surrogates_by_a_plain_weaving(spark):
+    """Texts equal a plain version that replaces the entities of ``found`` one to one."""
+    rng = random.Random(12)
+    given, family = ["Ana", "Bo", "Carl", "Dora"], ["Stone", "Wood", "Reed"]
+    texts = []
+    for i in range(60):
+        bits = []
+        for _ in range(rng.randrange(12)):
+            one, two = rng.choice(given), rng.choice(family)
+            title = rng.choice(["Mr", "Mrs", "Dr"])
+            bits.append(rng.choice([f"{title} {one} {two}", f"{title} {two}", f"{one} {two}", two, "said that", f"{one}@{two}.com"]))
+        texts.append((None if i % 7 == 0 else i // 2, ". ".join(bits)))
+    texts += texts[:4]
+    rows = frame(spark, texts)
+    got = sorted((r.text, r.n_entities) for r in surrogates.replace(rows, "k").collect())
+    listed = surrogates._listed(surrogates.found(rows).where("size(entities) > 0"))
+    new = {(r.kind, r.canonical): r.surrogate for r in surrogates.assign(listed, "k").collect()}
+    assert len({(kind, s) for (kind, _), s in new.items()}) == len(new)
+    real = {(kind, c.split(":")[-1]) for kind, c in new}
+    assert not {(kind, s) for (kind, _), s in new.items()} & real
+    title = r"(?:(?:Mr|Mrs|Dr) )"
+    expected = []
+    for _, text in texts:
+        titled = re.findall(title + r"(\w+(?: \w+)?)", text)
+        known = sorted({n for t in titled for n in (t, t.split()[-1])}, key=len, reverse=True)
+        gender = {}
+        for t, n in re.findall(r"(Mr|Mrs) (\w+ \w+)", text):
+            gender.setdefault(n, "m" if t == "Mr" else "f")
+        alone = "|".join([r"\b\w+@\w+\.com", title + r"\w+(?: \w+)?", *(rf"\b{n}\b" for n in known)])
+        n = 0
+
+        def put(match):
+            nonlocal n
+            n += 1
+            raw = match[0]
+            if "@" in raw:
+                s = new["email", raw.lower()]
+                return "".join(c.upper() if i < len(raw) and raw[i].isupper() else c for i, c in enumerate(s))
+            head = re.match(title + "?", raw)[0]
+            names = raw[len(head) :].split()
+            own = {"Mr ": "m", "Mrs ": "f"}.get(head) or gender.get(" ".join(names), "n")
+            out = [new["given", f"{own}:{w.lower()}"] for w in names[:-1]] + [new["family", "n:" + names[-1].lower()]]
+            return head + " ".join(w.capitalize() for w in out)
+
+        expected.append((re.sub(alone, put, text), n))
+    assert got == sorted(expected)
+
+
 # --- substring dedup -------------------------------------------------------
 
 
