@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bio as fb
-from ..functions.arrays import let, pin
+from ..functions.arrays import let
 from ..functions.claims import collapse
 from ..functions.constants import MODEL_TYPES
 from ..operators import bio
 from . import views as v
 from .dataset import _RESOLVE
 from .registry import query
+from .span_arrays import with_arrays
 from .views import sql_collapse
 
 _WORD_TAGS = """
@@ -65,32 +66,6 @@ def bio_encode_chars(spark, sf_dir):
     return bio.bio_encode_chars(v.raw_rows(spark, sf_dir))
 
 
-def _offsets():
-    """Pieces of at most four letters per word, between special tokens, and
-    one token past the end of the text."""
-
-    def build(t):
-        pieces = F.flatten(
-            F.zip_with(
-                t.ws,
-                t.w,
-                lambda s, word: F.transform(
-                    F.sequence(F.lit(0), F.floor((F.length(word) - 1) / 4).cast("int")),
-                    lambda j: F.struct(
-                        (s + j * 4).alias("start"),
-                        F.least(s + j * 4 + 4, s + F.length(word)).alias("end"),
-                    ),
-                ),
-            )
-        )
-        n = F.length("text")
-        special = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end")))
-        past = F.array(F.struct((n + 5).alias("start"), (n + 6).alias("end")))
-        return F.concat(special, pieces, past, special)
-
-    return v.bind_words(build)
-
-
 _IDS = "[" + ", ".join(f"'{t}'" for t in MODEL_TYPES) + "]"
 
 
@@ -112,8 +87,7 @@ _IDS = "[" + ", ".join(f"'{t}'" for t in MODEL_TYPES) + "]"
     """,
 )
 def bio_align_tokens(spark, sf_dir):
-    words = v.with_words(v.messages(spark, sf_dir))
-    rows = pin(words, "message_id", "text", spans=v.raw_array(), offsets=_offsets())
+    rows = with_arrays(v.messages(spark, sf_dir), "message_id", "text", spans="raw", offsets="offsets")
     return bio.bio_align_tokens(rows)
 
 
