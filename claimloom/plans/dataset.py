@@ -9,7 +9,7 @@ from ..functions.text import good_span, preview
 from ..operators import intervals as iv
 from ..operators import labels as lb
 from ..operators import spans as sp
-from ..session import scratch_dir
+from ..session import scratch_dir, stage
 from ..sources import annotations as an
 from ..sources import sinks, tabular
 from ..sources.layout import SplitLayout
@@ -480,7 +480,9 @@ def span_overlap_pairs(spark, sf_dir):
 @query("span_overlap_flat", ORACLES["span_overlap_pairs"])
 def span_overlap_flat(spark, sf_dir):
     """The same pairs of one row per span, joined by position bins."""
-    return iv.span_pairs(v.explode_span_rows(v.raw_rows(spark, sf_dir)))
+    flat = v.explode_span_rows(v.raw_rows(spark, sf_dir))
+    # three passes follow over the spans, which are derived once
+    return iv.span_pairs(stage(flat.select("message_id", "claim_id", "start", "end"), "raw_spans"))
 
 
 @query(

@@ -11,8 +11,8 @@ from claimloom.functions.constants import CLAIM_TYPES, OTHER_CLAIM, RARE_TYPES
 from claimloom.plans import span_arrays as sa
 from claimloom.plans.catalog import QUERIES
 
-BLANKS = [" ", "  ", "\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", " ", " ", "　"]
-LETTERS = [*"abcdefgh", "\xe9", "漢", "\U0001f600", "​", "﻿", "\xc5", "‐", "、"]
+BLANKS = [" ", "  ", *map(chr, (0x09, 0x0A, 0x0B, 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x205F, 0x3000))]
+LETTERS = [*"abcdefgh", *map(chr, (0xC5, 0xE9, 0x6F22, 0x1F600, 0x200B, 0xFEFF, 0x2010, 0x3001))]
 
 
 def text_of(rng, n):
@@ -99,3 +99,11 @@ def test_predicted_and_gold_spans_are_derived_once(spark, tables):
     arrays = QUERIES["pred_gt_overlap"](spark, tables).where("message_id <> '7'")
     assert flat.columns == arrays.columns and flat.count() > 100
     assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, arrays.collect()))
+
+
+def test_raw_spans_are_derived_once(spark, tables):
+    flat = QUERIES["span_overlap_flat"](spark, tables).where("message_id <> '7'")
+    assert not derived(flat)
+    arrays = QUERIES["span_overlap_pairs"](spark, tables).where("message_id <> '7'")
+    assert flat.columns == arrays.columns and flat.count() > 100
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, arrays.collect()))
