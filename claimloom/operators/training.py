@@ -70,17 +70,21 @@ def augment_substitute(examples: DataFrame, factor: int = 2, seed: int = 42) ->
             *payload,
         )
     )
-    # one draw per rank and round, straight from the cell table
+    # one draw per rank and round, straight from the cell table, whose rows are dealt over the session's partitions
+    spread = cells.repartition(int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cell")
     rounds = F.filter(F.sequence(F.lit(0), F.lit(max(factor - 2, 0))), lambda r: r < factor - 1)
     ranks = F.explode(F.sequence(F.col("_before"), F.col("_before") + F.col("_in") - 1))
     draws = (
-        cells.select("_n", ranks.alias("_r"))
+        spread.select("_n", ranks.alias("_r"))
         .select("_n", "_r", F.explode(rounds).alias("_round"))
         .select((F.col("_round") * F.col("_n") + F.col("_r")).alias("draw"), F.col("_n").alias("n"))
     )
-    chosen = draws.select(
-        "draw", (_hash_int(F.lit(str(seed)), F.col("draw").cast("string")) % F.col("n")).alias("rank")
-    ).join(ranked, "rank")
+    # there are as many draws as examples, but Spark takes them for as few as the cells and would send them all to the driver
+    chosen = (
+        draws.select("draw", (_hash_int(F.lit(str(seed)), F.col("draw").cast("string")) % F.col("n")).alias("rank"))
+        .hint("merge")
+        .join(ranked, "rank")
+    )
 
     copies = chosen
     for word, options in SUBSTITUTIONS.items():
