@@ -54,7 +54,7 @@ def scan_annotation_array(spark, sf_dir):
     """The same documents from files that hold JSON arrays, read in ranges."""
     path = scratch_dir(spark, "annotation_arrays")
     docs = v.annotations(spark, sf_dir)
-    groups = max(2, docs.count() // 2000)
+    groups = max(2, v.messages(spark, sf_dir).count() // 2000)
     row = F.to_json(F.struct(*docs.columns))
     arrays = docs.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("file"), row.alias("o")).groupBy("file")
     arrays.agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("o")), F.lit("]")).alias("value")).select("value").write.text(path)

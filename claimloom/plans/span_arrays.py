@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.constants import CLAIM_TYPES, OTHER_CLAIM, RARE_TYPES
 from ..session import reach
+from ..sources.ranges import bytes_of
 
 CHUNK_BYTES = 1 << 20
 SPAN = "struct<start:int,end:int,claim_type:string,text:string,idx:int,wl:int>"
@@ -38,17 +39,6 @@ _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, and where each row begins and the last one ends."""
-    if not len(texts):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, ends, data = texts.buffers()
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    at = np.frombuffer(ends, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return held[at[0] : at[-1]], at - at[0]
-
-
 def _blank(data: np.ndarray) -> np.ndarray:
     found = _BLANK[data]
     for seq in _WIDE:
@@ -66,7 +56,7 @@ class Chunk:
     def __init__(self, batch: pa.RecordBatch):
         doc, label = batch.column("doc_id"), batch.column("label")
         self.batch, self.n = batch, batch.num_rows
-        self.data, self.at = _bytes_of(batch.column("text"))
+        self.data, self.at = bytes_of(batch.column("text"))
         data, at = self.data, self.at
         lead = (data & 0xC0) != 0x80
         before = np.concatenate(([0], np.cumsum(lead)))
@@ -173,7 +163,7 @@ class Chunk:
 
 def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows in order with about CHUNK_BYTES of text, one at least."""
-    _, at = _bytes_of(batch.column("text"))
+    _, at = bytes_of(batch.column("text"))
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(at, at[a] + CHUNK_BYTES, "right")) - 1)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,30 +29,48 @@ BETWEEN = " \t\r\n,[]\ufeff"
 WHOLE, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
 
 
-def _nesting(text: Column) -> Column:
-    """Brackets and braces opened less brackets closed; closing braces end pieces."""
-
-    def number(of: str) -> Column:
-        return F.char_length(text) - F.char_length(F.translate(text, of, ""))
-
-    return (number("{[") - number("]")).cast("long")
-
-
-def _effect(value: Column, start: int) -> Column:
-    """struct(inside, depth): whether the piece ends inside a string, its change of depth with the brace after it."""
-
-    def step(state: Column, part: Column, first: bool) -> Column:
-        inside = state["inside"] if first else F.when(state["escaped"], state["inside"]).otherwise(1 - state["inside"])
-        inside = inside.cast("long")
-        slashes = F.char_length(part) - F.char_length(F.rtrim(part, F.lit("\\")))
-        return F.struct(
-            inside.alias("inside"),
-            (state["depth"] + F.when(inside == 0, _nesting(part)).otherwise(0)).cast("long").alias("depth"),
-            F.coalesce((inside == 1) & (slashes % 2 == 1), F.lit(False)).alias("escaped"),
-        )
-
-    begin = F.struct(F.lit(start).cast("long").alias("inside"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("escaped"))
-    return ranges.folded(value, '"', step, begin)
+_NESTING = np.zeros(256, np.int8)
+_NESTING[[*b"{["]], _NESTING[ord("]")] = 1, -1
+
+
+def _effects(texts: pa.Array) -> dict[str, pa.Array]:
+    """Of each piece and either state before it: whether it ends inside a string, its change of depth with the brace after it.
+
+    A quote behind an odd number of backslashes leads into a string from either state, any
+    other one swaps the states; brackets and braces count outside of strings.
+    """
+    data, at = ranges.bytes_of(texts)
+    n = len(texts)
+    quote = np.flatnonzero(data == ord('"'))
+    piece = np.searchsorted(at, quote, "right") - 1
+    slashes, live, back = np.zeros(len(quote), np.int64), np.arange(len(quote)), quote - 1
+    while len(live):
+        more = (back >= at[piece[live]]) & (data[np.maximum(back, 0)] == ord("\\"))
+        live, back = live[more], back[more] - 1
+        slashes[live] += 1
+    odd = slashes % 2 == 1
+    turns = np.concatenate(([0], np.cumsum(~odd)))
+    first = np.searchsorted(quote, at)
+    last = np.maximum.accumulate(np.where(odd, np.arange(len(quote)), -1)) if len(quote) else quote
+    known = last >= first[piece]
+    since = turns[1:] - np.where(known, turns[last + 1], turns[first[piece]])
+    mark = np.flatnonzero(_NESTING[data])
+    of = np.searchsorted(at, mark, "right") - 1
+    before = np.searchsorted(quote, mark) - 1
+    quoted, some = before >= first[of], np.diff(first) > 0
+    made = {}
+    for name, start in (("zero", 0), ("one", 1)):
+        after = np.append(np.where(known, 1, start) ^ (since & 1), start)
+        ends = np.where(some, after[first[1:] - 1], start)
+        outside = np.where(quoted, after[before], start) == 0
+        depth = np.bincount(of[outside], _NESTING[data[mark[outside]]], n).astype(np.int64) if n else np.zeros(0, np.int64)
+        made |= {name: pa.array(ends.astype(np.int64)), f"depth_{name}": pa.array(depth - (ends == 0))}
+    return made
+
+
+def _with_effects(batch: pa.RecordBatch) -> pa.RecordBatch:
+    made = _effects(batch.column("text"))
+    return pa.RecordBatch.from_arrays([*batch.columns, *made.values()], names=[*batch.schema.names, *made])
 
 
 def _depths(part: pa.RecordBatch, around: np.ndarray) -> np.ndarray:
@@ -64,14 +82,8 @@ def _depths(part: pa.RecordBatch, around: np.ndarray) -> np.ndarray:
 def objects(spark: SparkSession, path: str) -> DataFrame:
     """The text of every object, in no order."""
     value = F.col("value")
-    zero, one = _effect(value, 0), _effect(value, 1)
-    columns = {
-        "zero": zero["inside"], "one": one["inside"],
-        "depth_zero": zero["depth"] - F.when(zero["inside"] == 0, 1).otherwise(0),
-        "depth_one": one["depth"] - F.when(one["inside"] == 0, 1).otherwise(0),
-    }
     opening = F.when(F.col("_metadata.file_block_start") == 0, F.substring(F.ltrim(value, F.lit(" \t\r\n\ufeff")), 1, 1))
-    effects = ranges.pieces(spark, path, "}", **columns, head=opening)
+    effects = ranges.pieces(spark, path, "}", text=value, head=opening)
 
     def opened(note: str | None, part: pa.RecordBatch) -> str | None:
         if note:
@@ -79,14 +91,14 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
         heads = part.column("head").drop_null().to_pylist()
         return next((h for h in heads if h), None)
 
-    splits = ranges.summaries(effects, lambda b, around: int(_depths(b, around).sum()), opened, pa.string(), "string")
+    splits = ranges.summaries(effects, lambda b, around: int(_depths(b, around).sum()), opened, pa.string(), "string", _with_effects)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = F.max((F.col("note") == "[").cast("long")).over(Window.partitionBy("file"))
     bases = ranges.starts(splits).select(
         *ranges.SPLIT, "state", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("depth"), F.coalesce(base, F.lit(0)).alias("base")
     )
     bases = stage(bases, "json_bases")
-    marked = ranges.pieces(spark, path, "}", **columns, text=value).join(F.broadcast(bases), ranges.SPLIT)
+    marked = ranges.pieces(spark, path, "}", text=value).join(F.broadcast(bases), ranges.SPLIT)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, kind = None, [], WHOLE
@@ -103,7 +115,7 @@ def objects(spark: SparkSession, path: str) -> DataFrame:
                 return [made([MIDDLE], [text])]
             return [made([TAIL], [text.lstrip(BETWEEN)])] if held and text.strip(BETWEEN + "}") else []
 
-        for here, part, new in ranges.by_split(batches):
+        for here, part, new in ranges.by_split(map(_with_effects, batches)):
             if new:
                 if key is not None:
                     yield from rest()

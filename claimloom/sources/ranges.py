@@ -49,6 +49,17 @@ def states(zero: np.ndarray, one: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate(([start], after)).astype(np.int64)
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column, and where each row begins and the last one ends."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, ends, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(ends, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return held[at[0] : at[-1]], at - at[0]
+
+
 def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch, bool]]:
     """Parts of batches that belong to one split, and whether the split begins there."""
     current = None
@@ -65,17 +76,17 @@ def by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int
             current = key
 
 
-def summaries(effects: DataFrame, total, note, kind: pa.DataType, sql_kind: str) -> DataFrame:
+def summaries(effects: DataFrame, total, note, kind: pa.DataType, sql_kind: str, prepare=lambda batch: batch) -> DataFrame:
     """For every split its effect on both states, the totals that go with each, and a note.
 
     ``effects`` holds file, block, zero, one and what the functions need: ``total`` makes
     a number of a batch and the states around its pieces, ``note`` a value of the note so
-    far (None at first) and a batch.
+    far (None at first) and a batch.  ``prepare`` may add columns to a batch first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for key, part, new in by_split(batches):
+        for key, part, new in by_split(map(prepare, batches)):
             if new:
                 rows.append([*key, 0, 1, 0, 0, None])
             row = rows[-1]

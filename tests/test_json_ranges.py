@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from claimloom.sources import annotations as an
@@ -64,3 +65,21 @@ def test_one_large_array_gives_many_tasks_and_the_same_rows(spark, tmp_path):
 def test_a_cut_object_is_dropped_and_a_bad_one_is_null(spark, tmp_path):
     (tmp_path / "x.json").write_text('[{"id": 1, "text": "a", "inner": []}, 7, {"id": oops}, {"id": 3, "text": "cut')
     assert [(r[0], r[1]) for r in read(spark, str(tmp_path), 1 << 20)] == [(1, "a"), (None, None)]
+
+
+def test_effects_of_pieces_equal_a_plain_walk():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(['"', "\\", "{", "[", "]", "a", "\xe9"], k=rng.randrange(14))) for _ in range(3000)]
+    got = json_ranges._effects(pa.array(["x", *texts]).slice(1))
+    for name, start in (("zero", 0), ("one", 1)):
+        ends, depths = got[name].to_pylist(), got[f"depth_{name}"].to_pylist()
+        for text, end, depth in zip(texts, ends, depths, strict=True):
+            inside, change, run = start, 0, 0
+            for c in text:
+                if c == '"':
+                    inside = 1 if not inside or run % 2 else 0
+                elif not inside:
+                    change += {"{": 1, "[": 1, "]": -1}.get(c, 0)
+                run = run + 1 if c == "\\" else 0
+            assert (end, depth) == (inside, change - (not inside)), text
+    assert all(len(x) == 0 for x in json_ranges._effects(pa.array([], pa.string())).values())
