@@ -99,22 +99,17 @@ def running_max(values: Column) -> Column:
 def count_below(ordered: Column, value: Column) -> Column:
     """How many elements of an ascending array are smaller than ``value``.
 
-    Bisection: the number of steps grows with the logarithm of the length.
+    Leaps of halving width: their number grows with the logarithm of the length.
     Bind ``ordered`` with ``let`` when this runs inside a lambda.
     """
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
-    start = F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi"))
-
-    def halve(acc: Column, _step: Column) -> Column:
-        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
-        open_ = acc["lo"] < acc["hi"]
-        below = open_ & (F.get(ordered, mid) < value)
-        return F.struct(
-            F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
-        )
+    steps = F.sequence(F.ceil(F.log2(F.size(ordered) + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+    def leap(below: Column, power: Column) -> Column:
+        further = below + F.call_function("shiftleft", F.lit(1), power)
+        # beyond the end there is NULL, which is not smaller
+        return F.when(F.get(ordered, further - 1) < value, further).otherwise(below)
 
-    return F.aggregate(steps, start, halve, lambda acc: acc["lo"])
+    return F.aggregate(steps, F.lit(0), leap)
 
 
 def ranges_hit(first: Column, stop: Column, r: Column) -> Column:

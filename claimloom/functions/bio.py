@@ -5,14 +5,11 @@ All of it works on the arrays of one row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import count_below, indices, let, ranges_hit
 from .constants import MODEL_TYPES
-from .matching import cross_overlaps
 
 IGNORED = -100
 
@@ -49,12 +46,6 @@ def _spread(n: Column, tagged: Column) -> Column:
     return let(tagged, build)
 
 
-def _intervals(starts: Column, ends: Callable[[Column, Column], Column]) -> Column:
-    return F.transform(
-        starts, lambda s, i: F.struct(s.alias("start"), ends(s, i).alias("end"))
-    )
-
-
 def word_hits(words: Column, spans: Column) -> Column:
     """array<struct<l, r>> of word and span positions that meet.
 
@@ -115,7 +106,7 @@ def tags_at(positions: Column, spans: Column, ascending: bool = False) -> Column
     """The character tag at each position: the last span in list order that
     covers it decides; B at the span's first character, I after it.
 
-    ``ascending`` promises positions in text order, which is faster.
+    ``ascending`` promises positions in text order; others are put in order first.
     """
 
     def build(points: Column, claims: Column) -> Column:
@@ -123,18 +114,25 @@ def tags_at(positions: Column, spans: Column, ascending: bool = False) -> Column
             claims,
             lambda s: F.struct(s["start"], F.greatest(s["end"], s["start"] + 1).alias("end")),
         )
-        meets = word_hits if ascending else cross_overlaps
-        hits = let(wide, lambda ws: _one_hit(meets(points, ws), last=True))
+        hits = let(wide, lambda ws: _one_hit(word_hits(points, ws), last=True))
 
         def one(x: Column) -> Column:
-            span = F.get(claims, x["r"])
-            mark = F.when(F.get(points, x["l"])["start"] == span["start"], "B-").otherwise("I-")
-            return F.struct(x["l"].alias("idx"), F.concat(mark, span["claim_type"]).alias("tag"))
+            return let(
+                F.struct(F.get(claims, x["r"]).alias("span"), F.get(points, x["l"]).alias("point")),
+                lambda at: F.struct(
+                    at["point"]["idx"].alias("idx"),
+                    F.concat(
+                        F.when(at["point"]["start"] == at["span"]["start"], "B-").otherwise("I-"), at["span"]["claim_type"]
+                    ).alias("tag"),
+                ),
+            )
 
-        return _spread(F.size(points), F.transform(hits, one))
+        tagged = F.transform(hits, one)
+        return _spread(F.size(points), tagged if ascending else F.sort_array(tagged))
 
-    points = _intervals(positions, lambda s, _i: s + 1)
-    return let(points, lambda p: let(spans, lambda c: build(p, c)))
+    points = F.transform(positions, lambda s, i: F.struct(s.alias("start"), (s + 1).alias("end"), i.alias("idx")))
+    ordered = points if ascending else F.sort_array(points)
+    return let(ordered, lambda p: let(spans, lambda c: build(p, c)))
 
 
 def label_ids() -> Column:

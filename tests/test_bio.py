@@ -1,9 +1,11 @@
 import random
+import time
 
 from conftest import SPAN
 from pyspark.sql import functions as F
 
 from claimloom.functions import bio
+from claimloom.functions.arrays import count_below
 from claimloom.operators import bio as ob
 
 TOKENS = "array<struct<idx:int,start:int,end:int,label:string,confidence:double>>"
@@ -117,3 +119,25 @@ def test_strict_scores(spark):
     assert got["A"].f1 == 1.0 and got["B"].f1 == 0.0
     assert got["_micro"].precision == 0.5 and got["_macro"].f1 == 0.5
     assert abs(got["A"].token_accuracy - 0.6) < 1e-9
+
+
+def test_positions_in_any_order_under_a_chain_of_spans(spark):
+    """One chain of overlaps over the whole text; the cost must not follow positions times spans."""
+    rng = random.Random(2)
+    spans = [(8 * i, 8 * i + 11, "AB"[i % 2], "") for i in range(6000)]
+    positions = [rng.randrange(50_000) for _ in range(48_000)] + [0, 0, 7, 49_999]
+    df = spark.createDataFrame([(positions, spans)], f"p array<int>, spans {SPAN}")
+    began = time.monotonic()
+    got = df.select(bio.tags_at(F.col("p"), F.col("spans")).alias("t")).first().t
+    assert time.monotonic() - began < 15
+    for p, tag in zip(positions, got, strict=True):
+        last = max((i for i in range(p // 8 - 1, p // 8 + 1) if 0 <= i < 6000 and 8 * i <= p < 8 * i + 11), default=None)
+        assert tag == ("O" if last is None else f"{'B' if p == 8 * last else 'I'}-{'AB'[last % 2]}")
+
+
+def test_count_below_equals_a_plain_count(spark):
+    rng = random.Random(5)
+    rows = [(sorted(rng.choices(range(40), k=n)), v) for n in range(34) for v in (-1, 0, 13, 39, 40)]
+    df = spark.createDataFrame([*rows, ([1, 2], None)], "o array<int>, v int")
+    got = df.select("o", "v", count_below(F.col("o"), F.col("v")).alias("n")).collect()
+    assert all(r.n == sum(x < r.v for x in r.o) for r in got if r.v is not None)
